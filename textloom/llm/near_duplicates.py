@@ -43,13 +43,13 @@ def _codes(least: int, segments: int, symbols: int):
             texts = [X.plain_form("".join(c[i] or "" for c in rest)) for i in keep]
             h = X.min_hashes(texts, segments * symbols)
             n = len(texts)
-            blocks = X.block_keys(h, symbols).reshape(-1)
+            blocks = np.ascontiguousarray(X.block_keys(h, symbols)).view(np.uint8).reshape(n, segments, 8)[:, :, :KEY_BYTES]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([keys[i] for i in keep], pa.string()),
                     pa.array([X.digest(t) for t in texts], pa.binary()),
                     pa.array(X.bit_code(h)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * segments), pa.array(blocks)),
+                    pa.array([x.tobytes() for x in blocks], pa.binary()),
                 ],
                 ["key", "class", "code", "blocks"],
             )
@@ -61,7 +61,7 @@ def coded(df: DataFrame, key: str, main: str, columns: Sequence[str], least: int
     """``key, class, code, blocks`` of the rows whose ``main`` column has at least ``least`` plain characters."""
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(main).alias("main"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = rows.where("key is not null and main is not null")
-    return rows.mapInArrow(_codes(least, segments, symbols), "key string, class binary, code long, blocks array<long>")
+    return rows.mapInArrow(_codes(least, segments, symbols), "key string, class binary, code long, blocks binary")
 
 
 def ring_chain(x: Column, tau: int, length: int = 3) -> Column:
@@ -101,7 +101,9 @@ def class_pairs(codes: DataFrame, tau: int = TAU) -> DataFrame:
     A prefix that two classes share costs a needless check, as candidates are looked up by it.
     """
     classes = codes.groupBy("class").agg(F.min(F.struct("code", "blocks")).alias("s"))
-    rows = classes.select(F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long").alias("id"), F.col("s.code").alias("code"), F.explode("s.blocks").alias("block"))
+    rows = classes.select(_number("class", F.lit(1), 6).alias("id"), "s.code", "s.blocks", F.explode(F.expr(f"sequence(0, octet_length(s.blocks) div {KEY_BYTES} - 1)")).alias("no"))
+    block = _number("blocks", F.col("no") * KEY_BYTES + 1, KEY_BYTES) + F.shiftleft(F.col("no").cast("long"), 8 * KEY_BYTES)
+    rows = rows.select("id", "code", block.alias("block"))
     a, b = rows.alias("a"), rows.alias("b")
     x = F.col("a.code").bitwiseXOR(F.col("b.code"))
     near = ring_chain(x, tau) & (F.bit_count(x) <= tau)
@@ -115,12 +117,12 @@ def near_duplicate_classes(df: DataFrame, key: str, main: str, columns: Sequence
     members = codes.select("key", "class").distinct()
     reps = members.groupBy("class").agg(F.min("key").alias("rep"))
     pairs = class_pairs(codes)
-    ids = reps.select(F.conv(F.hex(F.substring("class", 1, 7)), 16, 10).cast("long").alias("id"), "rep")
+    ids = reps.select(_number("class", F.lit(1), 6).alias("id"), "rep")
     pairs = pairs.join(ids.select(F.col("id").alias("a"), F.col("rep").alias("rep_a")), "a").join(ids.select(F.col("id").alias("b"), F.col("rep").alias("rep_b")), "b")
     pairs = cut(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")))
     text = F.concat(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = df.select(F.col(key).cast("string").alias("id"), text.alias("text")).join(needed, "id", "left_semi").distinct()
+    texts = df.select(F.col(key).cast("string").alias("id"), text.alias("text")).join(needed, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     links = both.mapInPandas(_likeness(threshold), "a string, b string, likeness double").groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
     return members.join(reps, "class").select("key", "rep"), links
