@@ -1,8 +1,8 @@
 """Problem 6: evaluation texts leaking into training text, by latent semantic retrieval.
 
 Terms are the 6-character substrings of the plain form. Evaluation passages are TF-IDF vectors with document
-frequencies counted over the whole corpus; their randomised SVD is computed over distributed rows (the products with
-the test matrix and each power iteration are sums over partitions). A corpus document is read as windows of 90 plain
+frequencies counted over the whole corpus; their randomised SVD is computed with the terms distributed (the products
+with the test matrix and each power iteration are sums over partitions). A corpus document is read as windows of 90 plain
 characters, one every 30, so that 60 consecutive characters always lie within one window. A window is projected into
 the latent space and is a candidate of a passage if its component along the passage's latent direction reaches what
 the weakest 60 characters of that passage would give it. Directions outside the space of the passages add nothing to
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import text as X
 
-MAX_ITEMS = 100_000
+MAX_ITEMS = 20_000
 N, WINDOW, STRIDE = 6, 90, 30
 SLOTS = 1 << 20
 
@@ -67,48 +67,50 @@ def _document_frequencies(terms):
     return run
 
 
-def randomised_svd(rows: DataFrame, n_terms: int, rank: int, power: int = 2, oversample: int = 10, seed: int = 5) -> np.ndarray:
-    """``n_terms x rank``: leading right singular vectors of distributed rows ``terms array<int>, weights array<float>``.
+def _times(term: np.ndarray, item: np.ndarray, weight: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The sparse rows (entries sorted by ``term``) times ``m``, one row for each different term."""
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    return np.add.reduceat(weight[:, None] * m[item], first, axis=0) if len(term) else np.zeros((0, m.shape[1]), m.dtype)
 
-    Each pass sums A'(A Q) over the partitions in blocks of terms, so the driver gets one block of each sum, never
-    the rows.
+
+def randomised_svd(entries: DataFrame, n_items: int, rank: int, power: int = 2, oversample: int = 10, seed: int = 5) -> np.ndarray:
+    """``n_items x rank``: left singular vectors over singular values of the matrix with ``item, term, weight``.
+
+    The long side, the terms, stays distributed: every pass sends a block of test vectors to the partitions and sums
+    A (A' Q) over them, so only matrices of items x rank move. Terms times the result are the latent directions.
     """
-    rank = max(1, min(rank, n_terms))
-    wide = min(n_terms, rank + oversample)
-    q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((n_terms, wide)).astype(np.float32))[0]
-    sc = rows.sparkSession.sparkContext
-    block = 4096
+    sc = entries.sparkSession.sparkContext
+    wide = min(n_items, rank + oversample)
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(seed)).standard_normal((n_items, wide)))[0]
+    parts = entries.repartition(4, "term").sortWithinPartitions("term", "item")
 
     def product(q: np.ndarray) -> np.ndarray:
         shared = sc.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, out, some = shared.value, np.zeros(shared.value.shape, np.float32), False
-            for b in batches:
-                for t, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    t, w = np.array(t, np.int64), np.array(w, np.float32)
-                    out[t] += w[:, None] * (w @ q[t])[None]
-                    some = True
-            blocks = range(0, len(out), block) if some else []
-            yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([out[i : i + block].tobytes() for i in blocks], pa.binary())], ["block", "data"])
-
-        def add(p: pd.DataFrame) -> pd.DataFrame:
-            total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in p.data)
-            return pd.DataFrame({"block": p.block[:1], "data": [total.astype(np.float32).tobytes()]})
-
-        sums = rows.mapInArrow(run, "block long, data binary").groupBy("block").applyInPandas(add, "block long, data binary")
-        out = np.zeros(q.shape, np.float32)
-        for r in sums.toLocalIterator():
-            x = np.frombuffer(r.data, np.float32).reshape(-1, q.shape[1])
-            out[r.block : r.block + len(x)] = x
+            q = shared.value
+            out = np.zeros(q.shape)
+            tables = [b for b in batches if b.num_rows]
+            if tables:
+                item, term, weight = (pa.Table.from_batches(tables).column(c).to_numpy() for c in ("item", "term", "weight"))
+                y = _times(term, item, weight, q)
+                row = np.cumsum(np.diff(term, prepend=-1) != 0) - 1
+                order = np.argsort(item, kind="stable")
+                out[np.unique(item)] = _times(item[order], row[order], weight[order], y)
+                yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], ["data"])
+
+        out = np.zeros(q.shape)
+        for r in parts.mapInArrow(run, "data binary").toLocalIterator():
+            out += np.frombuffer(r.data, np.float32).reshape(q.shape)
         shared.unpersist()
         return out
 
     for _ in range(power):
         q = np.linalg.qr(product(q))[0]
-    y = product(q)  # (A'A) Q: its small eigenproblem orders the directions
-    values, vectors = np.linalg.eigh(q.T @ y)
-    return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
+    values, vectors = np.linalg.eigh(q.T @ product(q))
+    best = np.argsort(-values)[:rank]
+    best = best[values[best] > 1e-6 * values.max()]
+    return q @ vectors[:, best] / np.sqrt(values[best])
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -130,7 +132,8 @@ _ANSWER = re.compile(r"[A-Z]{2,4}-?\d{4,6}|\d[\d,.]*\d(?:만)?|\d+%")
 def _search(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        v, idf, basis, latent, bar = Vocabulary(m["terms"]), m["idf"], m["basis"], m["latent"], m["bar"]
+        v, idf, latent, bar = Vocabulary(m["terms"]), m["idf"], m["latent"], m["bar"]
+        basis = _times(m["term"], m["item"], idf[m["term"]], m["directions"]).astype(np.float32)
         ids, plains, answers, least, paraphrase = m["ids"], m["plains"], m["answers"], m["least"], m["paraphrase"]
         w2 = idf * idf
         floor = bar.min() if len(bar) else np.inf
@@ -219,7 +222,7 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 60, rank: int = 3
         else:
             df[r.term] = r.n
     idf = (np.log((total + 1) / (df + 1)) + 0.01).astype(np.float32)
-    vectors, bars, norms = [], [], []
+    vectors, bars = [], []
     for a, b in zip(starts, starts[1:], strict=False):
         t = number[a:b]
         u = np.unique(t)
@@ -230,11 +233,14 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 60, rank: int = 3
         length = least - N + 1
         low = (run[length:] - run[:-length]).min() if not twice else min((idf[np.unique(t[i : i + length])] ** 2).sum() for i in range(len(t) - length + 1))
         bars.append(low)
-        norms.append(float(np.sqrt((idf[u] ** 2).sum())))
-    schema = "terms array<int>, weights array<float>"
-    rows = spark.createDataFrame([(u.tolist(), idf[u].tolist()) for u in vectors], schema).repartition(max(1, min(8, len(vectors) // 64)))
-    basis = randomised_svd(rows, len(terms), min(rank, len(vectors)))
+    item = np.repeat(np.arange(len(vectors)), [len(u) for u in vectors])
+    term = np.concatenate(vectors)
+    order = np.lexsort((item, term))
+    item, term = item[order], term[order]
+    entries = spark.createDataFrame(pd.DataFrame({"item": item, "term": term, "weight": idf[term].astype(float)}))
+    directions = randomised_svd(entries, len(vectors), rank)
+    basis = _times(term, item, idf[term], directions)
     latent = np.stack([idf[u] @ basis[u] for u in vectors]).astype(np.float32)
     answers = [sorted(set(_ANSWER.findall(p))) for _, p, _ in kept]
-    model = {"terms": terms, "idf": idf, "basis": basis, "latent": latent, "bar": np.array(bars, np.float32) * tolerance, "ids": [i for i, _, _ in kept], "plains": plains, "answers": answers, "least": least, "paraphrase": paraphrases}
+    model = {"terms": terms, "idf": idf, "term": term, "item": item, "directions": directions, "latent": latent, "bar": np.array(bars, np.float32) * tolerance, "ids": [i for i, _, _ in kept], "plains": plains, "answers": answers, "least": least, "paraphrase": paraphrases}
     return docs.mapInArrow(_search(sc.broadcast(model)), empty.schema).distinct()
