@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import leaks, look_alikes, mixture, near_duplicates, pieces, split_overlap, term_counts
+from textloom.llm import leaks, look_alikes, mixture, near_duplicates, pieces, pii, split_overlap, term_counts
 from textloom.sources.tables import table
 
 FIELDS = ("subject_key", "role", "qualifier", "reference")
@@ -88,5 +88,13 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixture.shares(_mixed(spark, sf), table(spark, sf, "mix_targets"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.mentions(table(spark, sf, "documents")).select("doc_id", "kind", "char_start").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.redacted(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}

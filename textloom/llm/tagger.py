@@ -142,7 +142,7 @@ class Tagger:
             g["x" + d] = gx
         return loss, g
 
-    def fit(self, batches, rate: float = 0.01, steps: int = 400) -> list[float]:
+    def fit(self, batches, rate: float = 0.02, steps: int = 400) -> list[float]:
         """Adam over ``batches``, pairs of characters and tags (steps, batch); the rate falls to a tenth."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
