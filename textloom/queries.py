@@ -606,9 +606,14 @@ def metric_multi_grouping(s, d):
     return metrics.grouped_means(x, ["split", "source"], ["recall5", "mrr", "ndcg"])
 
 
-@query("WITH " + RUNS + " SELECT run_id, count(*) AS n, round(avg(r5), 4) AS r5, round(avg(rr10), 4) AS rr10, round(quantile_cont(elapsed, 0.5), 6) AS p50, round(quantile_cont(elapsed, 0.95), 6) AS p95 FROM k GROUP BY run_id")
+def _exact_mean(c: str):
+    """Mean of values with four decimals, summed as integers so that it does not depend on the order."""
+    return F.sum(F.round(F.col(c) * 10000).cast("long")).cast("double") / F.count(c) / 10000
+
+
+@query("WITH " + RUNS + " SELECT run_id, count(*) AS n, CAST(sum(CAST(round(r5 * 10000) AS BIGINT)) AS DOUBLE) / count(r5) / 10000 AS r5, CAST(sum(CAST(round(rr10 * 10000) AS BIGINT)) AS DOUBLE) / count(rr10) / 10000 AS rr10, round(quantile_cont(elapsed, 0.5), 6) AS p50, round(quantile_cont(elapsed, 0.95), 6) AS p95 FROM k GROUP BY run_id")
 def metric_macro_aggregate(s, d):
-    return runs(s, d).groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.avg("r5"), 4).alias("r5"), F.round(F.avg("rr10"), 4).alias("rr10"), F.round(F.percentile("elapsed", 0.5), 6).alias("p50"), F.round(F.percentile("elapsed", 0.95), 6).alias("p95"))
+    return runs(s, d).groupBy("run_id").agg(F.count("*").alias("n"), _exact_mean("r5").alias("r5"), _exact_mean("rr10").alias("rr10"), F.round(F.percentile("elapsed", 0.5), 6).alias("p50"), F.round(F.percentile("elapsed", 0.95), 6).alias("p95"))
 
 
 @query("WITH " + RUNS + " SELECT run_id, count(*) AS n, round(avg(CASE WHEN error <> 0 OR submitted IS NULL THEN 1.0 ELSE 0.0 END), 6) AS failure_rate, avg(CASE WHEN error <> 0 OR submitted IS NULL THEN 1.0 ELSE 0.0 END) > 0.2 AS abort FROM k GROUP BY run_id")
@@ -699,3 +704,419 @@ def stat_cluster_bootstrap(s, d):
 def compare_probe_rows(s, d):
     p = pairs(s, d).withColumn("key", F.concat_ws("|", "split", "source", "qid")).withColumn("difference", F.col("a") - F.col("b"))
     return stats.bootstrap(p, "key", "difference")
+
+
+# ---- joins of spans and units
+
+_ELS = "el AS (SELECT DISTINCT document_key AS doc, element_id AS unit_id, char_start AS u0, char_end AS u1 FROM elements WHERE char_start IS NOT NULL AND char_start < char_end)"
+_CHS = "ch AS (SELECT DISTINCT document_key AS doc, chunk_id AS span_id, char_start AS c0, char_end AS c1 FROM chunks WHERE char_start IS NOT NULL AND char_start < char_end)"
+OVER = f"{_ELS}, {_CHS}, ov AS (SELECT doc, span_id, c0, c1, unit_id, u0, u1, least(u1, c1) - greatest(u0, c0) AS overlap FROM ch JOIN el USING (doc) WHERE u0 < c1 AND u1 > c0)"
+
+
+def units_and_spans(s, d):
+    u = table(s, d, "elements").select(F.col("document_key").alias("doc"), F.col("element_id").alias("unit_id"), F.col("char_start").alias("u0"), F.col("char_end").alias("u1")).distinct()
+    c = table(s, d, "chunks").select(F.col("document_key").alias("doc"), F.col("chunk_id").alias("span_id"), F.col("char_start").alias("c0"), F.col("char_end").alias("c1")).distinct()
+    return u, c
+
+
+@query(f"WITH {OVER}, i AS (SELECT *, (u0 <= c0 AND u1 >= c1) AS inside FROM ov), j AS (SELECT *, bool_or(inside) OVER (PARTITION BY doc, span_id) AS any_in, row_number() OVER (PARTITION BY doc, span_id ORDER BY inside DESC, u1 - u0, u0, unit_id) AS n FROM i) SELECT doc, span_id, unit_id, greatest(u0, c0) AS s0, least(u1, c1) AS s1, CASE WHEN any_in THEN 'contained' ELSE 'split' END AS how FROM j WHERE (any_in AND n = 1) OR NOT any_in")
+def join_span_overlap(s, d):
+    return spans.smallest_containing(*units_and_spans(s, d))
+
+
+@query(f"WITH {OVER} SELECT doc, span_id, unit_id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY doc, span_id ORDER BY overlap DESC, u0, unit_id) AS n FROM ov) WHERE n = 1")
+def join_span_max_overlap(s, d):
+    return spans.greatest_overlap(*units_and_spans(s, d)).select("doc", "span_id", "unit_id", "overlap")
+
+
+@query(f"WITH {OVER} SELECT doc, span_id, unit_id, overlap FROM ov")
+def join_span_all_overlaps(s, d):
+    return spans.overlapping(*units_and_spans(s, d)).select("doc", "span_id", "unit_id", "overlap")
+
+
+@query(f"WITH {OVER} SELECT doc, count(DISTINCT span_id) AS spans, count(DISTINCT unit_id) AS units FROM ov GROUP BY doc")
+def predicate_span_overlap(s, d):
+    return spans.overlapping(*units_and_spans(s, d)).groupBy("doc").agg(F.count_distinct("span_id").alias("spans"), F.count_distinct("unit_id").alias("units"))
+
+
+@query(f"WITH {OVER}, t AS (SELECT DISTINCT element_id AS unit_id, lower(trim(x)) AS tag FROM (SELECT element_id, unnest(role) AS x FROM element_semantic_fields_v4) WHERE x IS NOT NULL), c AS (SELECT span_id, tag, count(DISTINCT unit_id) AS n FROM ov JOIN t USING (unit_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY n DESC, tag) AS i FROM c) SELECT span_id, string_agg(tag, ' ' ORDER BY i) AS summary FROM r WHERE i <= 3 GROUP BY span_id")
+def join_chunk_tag_summary(s, d):
+    from pyspark.sql import Window
+
+    t = table(s, d, "element_semantic_fields_v4").select(F.col("element_id").alias("unit_id"), F.explode("role").alias("x")).where("x is not null").select("unit_id", F.lower(F.trim("x")).alias("tag")).distinct()
+    c = spans.overlapping(*units_and_spans(s, d)).join(t, "unit_id").groupBy("span_id", "tag").agg(F.count_distinct("unit_id").alias("n"))
+    r = c.withColumn("i", F.row_number().over(Window.partitionBy("span_id").orderBy(F.col("n").desc(), "tag"))).where("i <= 3")
+    return r.groupBy("span_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "tag"))), lambda x: x["tag"]), " ").alias("summary"))
+
+
+_ORD = "SELECT DISTINCT element_id, document_key, line_start, CASE WHEN element_type = 'heading' THEN text END AS heading, nullif(trim(contract_scope), '') AS scope FROM elements WHERE line_start IS NOT NULL"
+
+
+def ordered_elements(s, d):
+    e = table(s, d, "elements").where("line_start is not null")
+    return e.select("element_id", "document_key", "line_start", F.when(F.col("element_type") == "heading", F.col("text")).alias("heading"), F.nullif(F.trim("contract_scope"), F.lit("")).alias("scope")).distinct()
+
+
+@query(f"WITH o AS ({_ORD}) SELECT element_id, line_start, last_value(heading IGNORE NULLS) OVER (PARTITION BY document_key ORDER BY line_start, element_id ROWS UNBOUNDED PRECEDING) AS heading_now FROM o")
+def join_asof_heading(s, d):
+    return spans.carried(ordered_elements(s, d), "document_key", ["line_start", "element_id"], "heading").select("element_id", "line_start", "heading_now")
+
+
+@query(f"WITH o AS ({_ORD}) SELECT element_id, line_start, last_value(heading IGNORE NULLS) OVER w AS heading_now, last_value(scope IGNORE NULLS) OVER w AS scope_now FROM o WINDOW w AS (PARTITION BY document_key ORDER BY line_start, element_id ROWS UNBOUNDED PRECEDING)")
+def win_running_context(s, d):
+    return spans.carried(ordered_elements(s, d), "document_key", ["line_start", "element_id"], "heading", "scope").select("element_id", "line_start", "heading_now", "scope_now")
+
+
+@query(f"WITH o AS ({_ORD}), b AS (SELECT *, CASE WHEN scope IS DISTINCT FROM lag(scope) OVER (PARTITION BY document_key ORDER BY line_start, element_id) THEN 1 ELSE 0 END AS step FROM o), g AS (SELECT *, sum(step) OVER (PARTITION BY document_key ORDER BY line_start, element_id ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT document_key, run, min(scope) AS scope, min(line_start) AS first_line, max(line_start) AS last_line, count(*) AS n FROM g GROUP BY document_key, run")
+def join_asof_breakpoints(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("document_key").orderBy("line_start", "element_id")
+    o = ordered_elements(s, d).withColumn("step", F.when(F.equal_null(F.col("scope"), F.lag("scope").over(w)), 0).otherwise(1))
+    o = o.withColumn("run", F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return o.groupBy("document_key", "run").agg(F.min("scope").alias("scope"), F.min("line_start").alias("first_line"), F.max("line_start").alias("last_line"), F.count("*").alias("n"))
+
+
+SQL["join_asof_breakpoints"] = SQL["join_asof_breakpoints"].replace("CASE WHEN scope IS DISTINCT FROM lag(scope) OVER (PARTITION BY document_key ORDER BY line_start, element_id) THEN 1 ELSE 0 END", "CASE WHEN scope IS NOT DISTINCT FROM lag(scope) OVER (PARTITION BY document_key ORDER BY line_start, element_id) THEN 0 ELSE 1 END")
+
+
+@query("SELECT DISTINCT e.element_id, f.schema_tag, f.contract_key FROM elements e JOIN element_semantic_fields_v4 f ON e.element_id = f.element_id")
+def join_id_tags(s, d):
+    return table(s, d, "elements").select("element_id").join(table(s, d, "element_semantic_fields_v4").select("element_id", "schema_tag", "contract_key"), "element_id").distinct()
+
+
+@query("SELECT DISTINCT doc_id, doc_type FROM doc_facts WHERE doc_id IN (SELECT document_key FROM chunks)")
+def join_semi_subset(s, d):
+    return table(s, d, "doc_facts").join(table(s, d, "chunks").select(F.col("document_key").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "doc_type").distinct()
+
+
+_GOLD = "SELECT DISTINCT qid, c FROM (SELECT qid, unnest(gold_chunk_ids) AS c FROM train350_gold) WHERE c IS NOT NULL AND qid IS NOT NULL"
+
+
+def train_gold(s, d):
+    return table(s, d, "train350_gold").where("qid is not null").select("qid", F.explode("gold_chunk_ids").alias("c")).where("c is not null").distinct()
+
+
+@query(f"SELECT qid, c FROM ({_GOLD}) g WHERE NOT EXISTS (SELECT 1 FROM chunks WHERE chunk_id = g.c)")
+def join_anti_missing(s, d):
+    return train_gold(s, d).join(table(s, d, "chunks").select(F.col("chunk_id").alias("c")), "c", "left_anti").select("qid", "c")
+
+
+QUERIES["set_difference"], SQL["set_difference"] = lambda s, d: join_anti_missing(s, d).select("c").distinct(), f"SELECT DISTINCT c FROM ({SQL['join_anti_missing']})"
+
+
+@query("SELECT c FROM (SELECT unnest(gold_chunk_ids) AS c FROM train350_gold) INTERSECT SELECT c FROM (SELECT unnest(gold_chunk_ids) AS c FROM results)")
+def set_intersect(s, d):
+    one = lambda t: table(s, d, t).select(F.explode("gold_chunk_ids").alias("c"))
+    return one("train350_gold").intersect(one("results"))
+
+
+_DECL = r"""de AS (SELECT document_key || '#' || regexp_extract(title, '^제[0-9]+조(?:의[0-9]+)?') AS key, element_id AS target FROM elements WHERE regexp_matches(title, '^제[0-9]+조') AND element_type = 'heading'),
+un AS (SELECT key, min(target) AS target FROM de WHERE key IS NOT NULL GROUP BY key HAVING count(DISTINCT target) = 1),
+re AS (SELECT DISTINCT e.element_id AS source, e.document_key || '#' || r AS key FROM (SELECT element_id, unnest(reference) AS r FROM element_semantic_fields_v4) f JOIN elements e USING (element_id) WHERE r IS NOT NULL),
+p1 AS (SELECT DISTINCT source, target FROM re JOIN un USING (key) WHERE source <> target), al AS (SELECT source, target, 1 AS hops FROM p1 UNION ALL SELECT a.source, b.target, 2 FROM p1 a JOIN p1 b ON a.target = b.source WHERE a.source <> b.target)"""
+
+
+@query(f"WITH {_DECL} SELECT source, target, min(hops) AS hops FROM al GROUP BY ALL")
+def join_reference_graph(s, d):
+    e = table(s, d, "elements")
+    article = F.regexp_extract("title", r"^(제[0-9]+조(?:의[0-9]+)?)", 1)
+    declared = e.where((F.col("element_type") == "heading") & F.col("title").rlike("^제[0-9]+조")).select(F.concat("document_key", F.lit("#"), article).alias("key"), F.col("element_id").alias("target")).where("key is not null")
+    refs = table(s, d, "element_semantic_fields_v4").select("element_id", F.explode("reference").alias("r")).where("r is not null").join(e.select("element_id", "document_key").distinct(), "element_id")
+    return spans.reference_paths(declared, refs.select(F.col("element_id").alias("source"), F.concat("document_key", F.lit("#"), "r").alias("key")).distinct())
+
+
+@query(f"""WITH RECURSIVE g AS ({_GOLD}), e AS (SELECT 'q' || qid AS a, 'c' || c AS b FROM g), ed AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT DISTINCT a AS id, a AS component FROM ed UNION SELECT ed.b, r.component FROM r JOIN ed ON ed.a = r.id)
+SELECT id, min(component) AS component FROM r GROUP BY id""")
+def join_gold_regions_union_find(s, d):
+    return spans.components(train_gold(s, d).select(F.concat(F.lit("q"), "qid").alias("a"), F.concat(F.lit("c"), "c").alias("b")))
+
+
+@query("SELECT c.chunk_id, c.section_path[len(c.section_path)] AS last_section, d.product_dir FROM (SELECT DISTINCT chunk_id, section_path, document_key FROM chunks) c LEFT JOIN (SELECT DISTINCT doc_id, product_dir FROM doc_facts) d ON d.doc_id = c.document_key")
+def parent_map(s, d):
+    c = table(s, d, "chunks").select("chunk_id", "section_path", "document_key").distinct()
+    f = table(s, d, "doc_facts").select(F.col("doc_id").alias("document_key"), "product_dir").distinct()
+    return c.join(f, "document_key", "left").select("chunk_id", F.when(F.size("section_path") > 0, F.element_at("section_path", -1)).alias("last_section"), "product_dir")
+
+
+# ---- windows, sorts, samples, sets
+
+
+@query(f"""WITH {_CHS}, f AS (SELECT doc, c0, c1, max(c1) OVER (PARTITION BY doc ORDER BY c0, c1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM (SELECT DISTINCT doc, c0, c1 FROM ch)),
+i AS (SELECT *, sum(CASE WHEN c0 - far <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc ORDER BY c0, c1 ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT doc, min(c0) AS c0, max(c1) AS c1, count(*) AS n FROM i GROUP BY doc, island""")
+def win_gap_islands_merge(s, d):
+    c = units_and_spans(s, d)[1].where("c0 is not null and c0 < c1").select("doc", "c0", "c1").distinct()
+    return spans.merged(c, "doc", 50)
+
+
+@query("SELECT clean_name, doc_id, doc_date FROM (SELECT *, rank() OVER (PARTITION BY clean_name ORDER BY doc_date DESC) AS r FROM (SELECT DISTINCT clean_name, doc_id, doc_date FROM doc_facts WHERE doc_date IS NOT NULL)) WHERE r = 1")
+def win_latest_version(s, d):
+    from pyspark.sql import Window
+
+    f = table(s, d, "doc_facts").where("doc_date is not null").select("clean_name", "doc_id", "doc_date").distinct()
+    return f.withColumn("r", F.rank().over(Window.partitionBy("clean_name").orderBy(F.col("doc_date").desc()))).where("r = 1").drop("r")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL),
+i AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id ORDER BY no) AS island FROM l WHERE regexp_matches(line, '^[\s=\-0-9]*$')) SELECT doc_id, min(no) AS start, count(*) AS lines FROM i GROUP BY doc_id, island HAVING count(*) >= 3""")
+def win_noise_runs(s, d):
+    from textloom.operators import segments
+
+    return segments.noise_runs(table(s, d, "documents").where("text is not null"))
+
+
+@query("SELECT doc_id, source, n FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('17|' || doc_id)) AS n FROM documents) WHERE n <= 5")
+def win_stratified_even_sample(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("17|"), F.col("doc_id").cast("string")), 256))
+    return table(s, d, "documents").select("doc_id", "source").withColumn("n", F.row_number().over(w)).where("n <= 5")
+
+
+@query("SELECT qid FROM (SELECT DISTINCT qid FROM train350_gold WHERE qid IS NOT NULL) ORDER BY sha256('7|' || qid), qid LIMIT 50")
+def sample_seeded_queries(s, d):
+    return table(s, d, "train350_gold").select("qid").where("qid is not null").distinct().orderBy(F.sha2(F.concat(F.lit("7|"), "qid"), 256), "qid").limit(50)
+
+
+@query("SELECT chunk_id, gold, CASE WHEN b < 32 THEN 'small' WHEN b < 96 THEN 'medium' ELSE 'large' END AS subset FROM (SELECT chunk_id, gold, CASE WHEN gold THEN 0 ELSE ('0x' || left(sha256('3|' || chunk_id), 2))::INT END AS b FROM (SELECT DISTINCT chunk_id, chunk_id IN (SELECT c FROM (SELECT unnest(gold_chunk_ids) AS c FROM train350_gold) WHERE c IS NOT NULL) AS gold FROM chunks WHERE chunk_id IS NOT NULL))")
+def sample_nested_subsets(s, d):
+    g = train_gold(s, d).select(F.col("c").alias("chunk_id"), F.lit(True).alias("g")).distinct()
+    c = table(s, d, "chunks").select("chunk_id").where("chunk_id is not null").distinct().join(g, "chunk_id", "left").select("chunk_id", F.coalesce("g", F.lit(False)).alias("gold"))
+    b = F.when(F.col("gold"), 0).otherwise(F.conv(F.substring(F.sha2(F.concat(F.lit("3|"), "chunk_id"), 256), 1, 2), 16, 10).cast("int"))
+    return c.select("chunk_id", "gold", F.when(b < 32, "small").when(b < 96, "medium").otherwise("large").alias("subset"))
+
+
+@query("SELECT doc_id, source, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR))) <= 30 THEN 'dev' ELSE 'test' END AS part FROM documents")
+def split_assign_hash(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy(F.sha2(F.col("doc_id").cast("string"), 256))
+    return table(s, d, "documents").select("doc_id", "source", F.when(F.row_number().over(w) <= 30, "dev").otherwise("test").alias("part"))
+
+
+@query("SELECT DISTINCT qid FROM train350_gold t WHERE qid IS NOT NULL AND regexp_matches(question, '며칠') AND NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = t.qid) ORDER BY sha256('9|' || qid) LIMIT 20")
+def audit_batch_select(s, d):
+    t = table(s, d, "train350_gold").where("qid is not null").where(F.col("question").rlike("며칠")).select("qid").distinct()
+    return t.join(table(s, d, "results").select("qid"), "qid", "left_anti").orderBy(F.sha2(F.concat(F.lit("9|"), "qid"), 256)).limit(20)
+
+
+SQL["audit_batch_select"] = "SELECT qid FROM (SELECT DISTINCT qid FROM train350_gold t WHERE qid IS NOT NULL AND regexp_matches(question, '며칠') AND NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = t.qid)) ORDER BY sha256('9|' || qid) LIMIT 20"
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
+def limit_topk(s, d):
+    return table(s, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(100)
+
+
+@query("SELECT element_id, rank() OVER (PARTITION BY document_key ORDER BY line_start NULLS LAST, line_end NULLS LAST, element_id) AS place FROM (SELECT DISTINCT element_id, document_key, line_start, line_end FROM elements)")
+def sort_total_order(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("document_key").orderBy(F.col("line_start").asc_nulls_last(), F.col("line_end").asc_nulls_last(), "element_id")
+    return table(s, d, "elements").select("element_id", "document_key", "line_start", "line_end").distinct().select("element_id", F.rank().over(w).alias("place"))
+
+
+@query("SELECT element_id, title, text FROM (SELECT *, row_number() OVER (PARTITION BY title, text ORDER BY element_id, loaded_at) AS n FROM elements WHERE text IS NOT NULL) WHERE n = 1")
+def dedup_first_occurrence(s, d):
+    e = table(s, d, "elements").where("text is not null")
+    return e.groupBy("title", "text").agg(F.min("element_id").alias("element_id")).select("element_id", "title", "text")
+
+
+# ---- exploration
+
+
+@query("SELECT count(n) AS n, min(n) AS lo, max(n) AS hi, round(avg(n), 4) AS mean, round(quantile_cont(n, 0.25), 4) AS p25, round(quantile_cont(n, 0.5), 4) AS p50, round(quantile_cont(n, 0.75), 4) AS p75, round(quantile_cont(n, 0.95), 4) AS p95, round(quantile_cont(n, 0.99), 4) AS p99 FROM (SELECT length(text) AS n FROM documents)")
+def eda_distribution(s, d):
+    n = table(s, d, "documents").select(F.char_length("text").alias("n"))
+    q = lambda p: F.round(F.percentile("n", p), 4)
+    return n.agg(F.count("n").alias("n"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.round(F.avg("n"), 4).alias("mean"), q(0.25).alias("p25"), q(0.5).alias("p50"), q(0.75).alias("p75"), q(0.95).alias("p95"), q(0.99).alias("p99"))
+
+
+@query("SELECT sha256(text) AS h, count(*) AS n, count(*) - 1 AS excess FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def eda_duplicates(s, d):
+    return table(s, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("n")).where("n > 1").withColumn("excess", F.col("n") - 1)
+
+
+@query(r"SELECT doc_id, CASE WHEN lines < 5 THEN 'D' WHEN articles >= 3 THEN 'A' WHEN tables > 0.2 * lines THEN 'C' ELSE 'B' END AS kind FROM (SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(regexp_extract_all(text, '제[0-9]+조')) AS articles, len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, '|'))) AS tables FROM documents WHERE text IS NOT NULL)")
+def eda_type_assign(s, d):
+    lines = F.split("text", "\n")
+    x = table(s, d, "documents").where("text is not null").select("doc_id", F.size(lines).alias("lines"), F.size(F.regexp_extract_all("text", F.lit("(제[0-9]+조)"), F.lit(1))).alias("articles"), F.size(F.filter(lines, lambda v: F.startswith(v, F.lit("|")))).alias("tables"))
+    return x.select("doc_id", F.when(F.col("lines") < 5, "D").when(F.col("articles") >= 3, "A").when(F.col("tables") > 0.2 * F.col("lines"), "C").otherwise("B").alias("kind"))
+
+
+@query("SELECT kind, count(*) AS n FROM (" + SQL["eda_type_assign"] + ") GROUP BY kind")
+def eda_structure_class(s, d):
+    return eda_type_assign(s, d).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+_RULES = (("payment", "지급"), ("surgery", "수술"), ("deadline", "일 안에|days"), ("table", r"^\|"))
+
+
+@query("SELECT element_id, coalesce(nullif(concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in _RULES) + "), ''), 'other') AS labels FROM elements WHERE text IS NOT NULL")
+def eda_label_rules(s, d):
+    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), n) for n, p in _RULES]))
+    return table(s, d, "elements").where("text is not null").select("element_id", F.when(F.size(hit) == 0, "other").otherwise(F.array_join(hit, ",")).alias("labels"))
+
+
+@query(r"""SELECT kind, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT line, CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '^#{1,6} ') THEN 'heading' WHEN starts_with(line, '|') THEN 'table' WHEN regexp_matches(line, '^[①-⑳]') THEN 'item' ELSE 'text' END AS kind FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM elements WHERE text IS NOT NULL)) GROUP BY kind""")
+def eda_line_census(s, d):
+    line = F.col("line")
+    kind = F.when(F.trim(line) == "", "blank").when(line.rlike("^#{1,6} "), "heading").when(F.startswith(line, F.lit("|")), "table").when(line.rlike("^[①-⑳]"), "item").otherwise("text")
+    return table(s, d, "elements").where("text is not null").select(F.explode(F.split("text", "\n")).alias("line")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.char_length("line")).alias("chars"))
+
+
+@query("WITH x AS (SELECT elapsed FROM results WHERE elapsed IS NOT NULL) SELECT round(quantile_cont(elapsed, 0.9), 6) AS linear, round(quantile_disc(elapsed, 0.5), 6) AS nearest FROM x")
+def percentile_variants(s, d):
+    return table(s, d, "results").agg(F.round(F.percentile("elapsed", 0.9), 6).alias("linear"), F.round(F.expr("percentile_disc(0.5) within group (order by elapsed)"), 6).alias("nearest"))
+
+
+@query("SELECT count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN len({c}) > 0 THEN 1.0 ELSE 0.0 END), 6) AS {c}" for c in ("subject_key", "role", "qualifier", "reference")) + " FROM element_semantic_fields_v4")
+def audit_coverage(s, d):
+    return table(s, d, "element_semantic_fields_v4").agg(F.count("*").alias("n"), *[F.round(F.avg(F.when(F.size(c) > 0, 1.0).otherwise(0.0)), 6).alias(c) for c in ("subject_key", "role", "qualifier", "reference")])
+
+
+_PREV = "SELECT lang, doc_type, count(*) AS c FROM documents WHERE lang IS NOT NULL AND doc_type IS NOT NULL GROUP BY ALL"
+
+
+@query(f"WITH p AS (SELECT lang, doc_type, c / sum(c) OVER (PARTITION BY lang) AS p FROM ({_PREV})) SELECT a.lang AS lang_a, b.lang AS lang_b, round(max(abs(a.p - b.p)), 6) AS max_difference FROM p a JOIN p b ON a.doc_type = b.doc_type AND a.lang < b.lang GROUP BY ALL")
+def eda_prevalence_similarity(s, d):
+    c = table(s, d, "documents").where("lang is not null and doc_type is not null").groupBy("lang", "doc_type").agg(F.count("*").alias("c"))
+    p = c.join(c.groupBy("lang").agg(F.sum("c").alias("t")), "lang").select("lang", "doc_type", (F.col("c") / F.col("t")).alias("p"))
+    a, b = p.select(F.col("lang").alias("lang_a"), "doc_type", F.col("p").alias("pa")), p.select(F.col("lang").alias("lang_b"), "doc_type", F.col("p").alias("pb"))
+    return a.join(b, "doc_type").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg(F.round(F.max(F.abs(F.col("pa") - F.col("pb"))), 6).alias("max_difference"))
+
+
+@query(f"WITH {DOCS}, {QUESTIONS}, v AS (SELECT DISTINCT unnest(tokens) AS term FROM d), t AS (SELECT DISTINCT query_id, unnest(tokens) AS term FROM q) SELECT query_id, count(*) AS terms, count(v.term) AS covered, round(count(v.term) / count(*), 6) AS share FROM t LEFT JOIN v USING (term) GROUP BY query_id")
+def eda_dataset(s, d):
+    v = corpus(s, d).select(F.explode("tokens").alias("term")).distinct().withColumn("known", F.lit(1))
+    t = lexical.query_terms(questions(s, d), 1).join(v, "term", "left")
+    return t.groupBy("query_id").agg(F.count("*").alias("terms"), F.count("known").alias("covered"), F.round(F.count("known") / F.count("*"), 6).alias("share"))
+
+
+# ---- routing
+
+
+@query("SELECT qid, CASE WHEN identity AND content THEN 'mixed' WHEN content THEN 'content' ELSE 'identity' END AS route FROM (SELECT qid, regexp_matches(question, '보험|특약') AS identity, regexp_matches(question, '며칠|얼마|청구|나오나요') AS content FROM train350_gold WHERE question IS NOT NULL)")
+def route_query_type(s, d):
+    i, c = F.col("question").rlike("보험|특약"), F.col("question").rlike("며칠|얼마|청구|나오나요")
+    return table(s, d, "train350_gold").where("question is not null").select("qid", F.when(i & c, "mixed").when(c, "content").otherwise("identity").alias("route"))
+
+
+@query("SELECT qid, CASE WHEN contains(question, '입원') THEN 'admission' WHEN contains(question, '코드') THEN 'code' WHEN contains(question, '청구') THEN 'claim' END AS intent FROM train350_gold WHERE question IS NOT NULL")
+def route_scenario_intent(s, d):
+    q = F.col("question")
+    return table(s, d, "train350_gold").where("question is not null").select("qid", F.when(F.contains(q, F.lit("입원")), "admission").when(F.contains(q, F.lit("코드")), "code").when(F.contains(q, F.lit("청구")), "claim").alias("intent"))
+
+
+# ---- segmentation
+
+
+@query(r"""WITH p AS (SELECT doc_id, trim(x) AS p, pos FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS x, generate_subscripts(regexp_split_to_array(text, '\n[ \t\r]*\n'), 1) AS pos FROM documents WHERE text IS NOT NULL) WHERE trim(x) <> ''),
+n AS (SELECT *, CASE WHEN length(p) >= 20 OR row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1 THEN 1 ELSE 0 END AS new FROM p), i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS no FROM n)
+SELECT doc_id, no, string_agg(p, chr(10) ORDER BY pos) AS paragraph FROM i GROUP BY doc_id, no""")
+def split_elements_paragraph(s, d):
+    from textloom.operators import segments
+
+    return segments.paragraphs(table(s, d, "documents").where("text is not null"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
+x AS (SELECT *, CASE WHEN regexp_matches(line, '^#{1,6} ') THEN 1 ELSE 0 END AS h FROM l), y AS (SELECT *, sum(h) OVER (PARTITION BY doc_id ORDER BY no ROWS UNBOUNDED PRECEDING) AS section FROM x)
+SELECT doc_id, section, max(CASE WHEN h = 1 THEN trim(regexp_replace(line, '^#{1,6} ', '')) END) AS title, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM y GROUP BY doc_id, section""")
+def split_md_sections(s, d):
+    from textloom.operators import segments
+
+    return segments.sections(table(s, d, "documents").where("text is not null"))
+
+
+@query(r"""WITH e AS (SELECT DISTINCT element_id, text FROM elements WHERE element_type = 'table' AND text IS NOT NULL), l AS (SELECT element_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM e),
+r AS (SELECT element_id, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells, row_number() OVER (PARTITION BY element_id ORDER BY n) - 1 AS row_no FROM l WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:-]+$')),
+v AS (SELECT element_id, count(DISTINCT cells[1]) > 1 AS varies, count(*) AS n FROM r WHERE row_no > 0 GROUP BY element_id)
+SELECT element_id, row_no, CASE WHEN varies OR n = 1 THEN cells[1] ELSE coalesce(cells[2], cells[1]) END AS key, array_to_string(cells, ' | ') AS cells FROM r JOIN v USING (element_id) WHERE row_no > 0""")
+def table_rows_extract(s, d):
+    from textloom.operators import segments
+
+    return segments.table_rows(table(s, d, "elements").where("element_type = 'table' and text is not null").select("element_id", "text").distinct())
+
+
+@query()
+def chunk_sentence_512(s, d):
+    from textloom.operators import segments
+
+    return segments.sentence_chunks(table(s, d, "documents"))
+
+
+@query()
+def chunk_boundary_overlap(s, d):
+    from textloom.operators import segments
+
+    return segments.boundary_chunks(table(s, d, "documents"))
+
+
+@query(f"WITH o AS ({_ORD}), h AS (SELECT *, sum(CASE WHEN heading IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY document_key ORDER BY line_start, element_id ROWS UNBOUNDED PRECEDING) AS unit FROM o) SELECT document_key, unit, max(heading) AS heading, count(*) AS members, min(element_id) AS first_element FROM h GROUP BY document_key, unit")
+def unit_aggregate_jo(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("document_key").orderBy("line_start", "element_id").rowsBetween(Window.unboundedPreceding, 0)
+    h = ordered_elements(s, d).withColumn("unit", F.sum(F.col("heading").isNotNull().cast("int")).over(w))
+    return h.groupBy("document_key", "unit").agg(F.max("heading").alias("heading"), F.count("*").alias("members"), F.min("element_id").alias("first_element"))
+
+
+# ---- quality and contracts
+
+
+@query("""SELECT 'duplicate_id' AS rule, count(*) AS violations FROM (SELECT qid FROM train350_gold GROUP BY qid HAVING count(*) > 1)
+UNION ALL SELECT 'no_gold', count(*) FROM train350_gold WHERE coalesce(len(gold_chunk_ids), 0) = 0
+UNION ALL SELECT 'null_type', count(*) FROM train350_gold WHERE business_type IS NULL
+UNION ALL SELECT 'unknown_gold', count(*) FROM (""" + SQL["join_anti_missing"] + ")")
+def qa_validate(s, d):
+    t = table(s, d, "train350_gold")
+    one = lambda df, rule: df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
+    return one(t.groupBy("qid").count().where("count > 1"), "duplicate_id").unionByName(one(t.where("coalesce(size(gold_chunk_ids), 0) <= 0"), "no_gold")).unionByName(one(t.where("business_type is null"), "null_type")).unionByName(one(join_anti_missing(s, d), "unknown_gold"))
+
+
+@query("""SELECT qid, CASE WHEN length(question) < 20 THEN 'reject' WHEN coalesce(len(gold_chunk_ids), 0) = 0 THEN 'revise' WHEN business_type IS NULL THEN 'revise' ELSE 'accept' END AS verdict,
+concat_ws(',', CASE WHEN length(question) < 20 THEN 'short' END, CASE WHEN coalesce(len(gold_chunk_ids), 0) = 0 THEN 'no_gold' END, CASE WHEN business_type IS NULL THEN 'no_type' END) AS reasons FROM train350_gold WHERE question IS NOT NULL""")
+def qa_review_rules(s, d):
+    short, none, kind = F.char_length("question") < 20, F.coalesce(F.size("gold_chunk_ids"), F.lit(0)) <= 0, F.col("business_type").isNull()
+    reasons = F.concat_ws(",", F.when(short, "short"), F.when(none, "no_gold"), F.when(kind, "no_type"))
+    return table(s, d, "train350_gold").where("question is not null").select("qid", F.when(short, "reject").when(none | kind, "revise").otherwise("accept").alias("verdict"), reasons.alias("reasons"))
+
+
+@query("SELECT element_id, coalesce(o.old_id, 'n-' || left(sha256(concat_ws('|', n.char_start, n.char_end, n.text)), 16)) AS id FROM (SELECT DISTINCT element_id, document_key, char_start, char_end, text FROM elements WHERE text IS NOT NULL AND char_start IS NOT NULL AND char_end IS NOT NULL) n LEFT JOIN (SELECT document_key, char_start, char_end, min(chunk_id) AS old_id FROM chunks GROUP BY ALL) o USING (document_key, char_start, char_end)")
+def id_stabilize(s, d):
+    n = table(s, d, "elements").where("text is not null and char_start is not null and char_end is not null").select("element_id", "document_key", "char_start", "char_end", "text").distinct()
+    o = table(s, d, "chunks").groupBy("document_key", "char_start", "char_end").agg(F.min("chunk_id").alias("old"))
+    new = F.concat(F.lit("n-"), F.substring(F.sha2(F.concat_ws("|", F.col("char_start").cast("string"), F.col("char_end").cast("string"), "text"), 256), 1, 16))
+    return n.join(o, ["document_key", "char_start", "char_end"], "left").select("element_id", F.coalesce("old", new).alias("id"))
+
+
+@query("SELECT title, count(DISTINCT document_key) AS documents, count(*) AS n FROM (SELECT DISTINCT element_id, title, document_key FROM elements WHERE element_type = 'heading' AND title IS NOT NULL AND title <> '') GROUP BY title HAVING count(*) > 1")
+def table_catalog_audit(s, d):
+    h = table(s, d, "elements").where("element_type = 'heading' and title is not null and title <> ''").select("element_id", "title", "document_key").distinct()
+    return h.groupBy("title").agg(F.count_distinct("document_key").alias("documents"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT element_id, array_to_string(list_filter(y, lambda v, i: list_position(y, v) = i), '|') AS kept FROM (SELECT e.element_id, list_filter(list_filter(f.qualifier, lambda v: v IS NOT NULL AND v <> ''), lambda v: contains(regexp_replace(e.text, '\\s+', '', 'g'), regexp_replace(v, '\\s+', '', 'g'))) AS y FROM (SELECT DISTINCT element_id, text FROM elements WHERE text IS NOT NULL) e JOIN (SELECT DISTINCT element_id, qualifier FROM element_semantic_fields_v4 WHERE qualifier IS NOT NULL) f USING (element_id))")
+def verbatim_value_filter(s, d):
+    f = table(s, d, "element_semantic_fields_v4").where("qualifier is not null").select("element_id", "qualifier").distinct()
+    kept = F.filter("qualifier", lambda v: v.isNotNull() & (v != "") & F.contains(F.col("t"), F.regexp_replace(v, r"\s+", "")))
+    e = table(s, d, "elements").where("text is not null").select("element_id", "text").distinct().select("element_id", F.regexp_replace("text", r"\s+", "").alias("t"))
+    return e.join(f, "element_id").select("element_id", F.array_join(F.array_distinct(kept), "|").alias("kept"))
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'purchase') THEN 'correct' WHEN event_type = 'error' THEN 'incorrect' ELSE 'format_error' END AS verdict FROM events")
+def json_parse_judgment(s, d):
+    t = F.lower(F.trim("event_type"))
+    return table(s, d, "events").select("event_id", F.when(t.isin("click", "purchase"), "correct").when(t == "error", "incorrect").otherwise("format_error").alias("verdict"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(('0x' || left(sha256(CAST(doc_id AS VARCHAR) || '|' || coalesce(text, '')), 12))::BIGINT) AS DECIMAL(38, 0))::VARCHAR AS checksum FROM documents")
+def freeze_verify(s, d):
+    h = F.conv(F.substring(F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.coalesce("text", F.lit(""))), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    return table(s, d, "documents").agg(F.count("*").alias("n"), F.sum(h).cast("string").alias("checksum"))
+
+
+QUERIES["recompute_scores"] = lambda s, d: suite(s, d).select("query_id", "r5", "rr10")
+SQL["recompute_scores"] = f"WITH {HITS} SELECT query_id, r5, rr10 FROM su"
