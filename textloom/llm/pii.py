@@ -381,7 +381,26 @@ def checked(s: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
     return best and best[1:]
 
 
-def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: float = 0.0, margin: float = 1.0, reach: int = 40) -> list[list[tuple[str, int, int]]]:
+def span_gains(e: np.ndarray, begins: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """For every character, by how much the best span that ends there beats staying outside.
+
+    One running maximum a kind: where none is positive, decoding would stay outside as well and can be left out.
+    """
+    best = np.full(len(e), -np.inf)
+    out = e[:, 0].astype(np.float64)
+    for k in range(len(KINDS)):
+        b, i = 2 * k + 1, 2 * k + 2
+        start = e[:, b] - out + (a[0, b] - a[0, 0])
+        go_on = np.maximum(e[:, i] - out + (a[i, i] - a[0, 0]), -60)
+        go_on[begins] = -1e3  # no span runs from one text into the next
+        total = np.cumsum(go_on)
+        first = np.maximum.accumulate(start - total + (a[b, i] - a[i, i]))
+        np.maximum(best, start + (a[b, 0] - a[0, 0]), out=best)
+        np.maximum(best[1:], total[1:] + first[:-1] + (a[i, 0] - a[0, 0]), out=best[1:])
+    return best
+
+
+def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: float = 0.0, margin: float = 0.5, reach: int = 80) -> list[list[tuple[str, int, int]]]:
     """Marked and checked spans of folded texts."""
     table = alphabet()
     a, ends = X.codes(texts)
@@ -392,7 +411,6 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
     starts = np.concatenate([np.arange(lo, max(lo + 1, hi - OVERLAP), step) for lo, hi in zip(ends, ends[1:], strict=False) if hi > lo])
     text_end = ends[np.searchsorted(ends, starts, "right")]
     text_start = ends[np.searchsorted(ends, starts, "right") - 1]
-    gap = np.empty(len(ids), np.float32)  # by how much outside is better than any kind
     e = np.empty((len(ids), 2 * len(KINDS) + 1), np.float32)
     newline = int(table[10])
     for lo in range(0, len(starts), 1024):
@@ -401,29 +419,25 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
         inside = pos < text_end[lo : lo + 1024][None]
         x = np.where(inside, ids[np.minimum(pos, len(ids) - 1)], newline)
         y = model.emissions(x)
+        y = np.ascontiguousarray(y.transpose(1, 0, 2))
         # a window owns what is farther from its edges than from its neighbours'
-        from_ = np.where(s == text_start[lo : lo + 1024], 0, OVERLAP // 2)
-        to = np.where(s + WINDOW >= text_end[lo : lo + 1024], WINDOW, WINDOW - OVERLAP // 2)
-        k = np.arange(WINDOW)[:, None]
-        own = inside & (k >= from_[None]) & (k < to[None])
-        e[pos[own]] = y[own]
+        begin = np.where(s == text_start[lo : lo + 1024], 0, OVERLAP // 2)
+        last = s + WINDOW >= text_end[lo : lo + 1024]
+        end = np.where(last, text_end[lo : lo + 1024] - s, WINDOW - OVERLAP // 2)
+        for w, (at, b, t) in enumerate(zip(s.tolist(), begin.tolist(), end.tolist(), strict=True)):
+            e[at + b : at + t] = y[w, b:t]
     e[:, 1:-2:2] += np.float32(bias)  # once a span: the forms of these kinds are checked
     e[:, -2] += np.float32(name_bias)
-    # a span pays off only where a tag with its step to the next inside tag beats staying outside, up to a margin
-    stay = model.p["trans"]
-    inner = np.arange(1, e.shape[1])
-    ahead = stay[inner, inner + inner % 2] - stay[0, 0]
-    np.subtract(e[:, 0], (e[:, 1:] + ahead).max(1) + np.float32(margin), out=gap)
+    best = span_gains(e, ends[:-1][np.diff(ends) > 0], model.transitions())
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    active = np.flatnonzero(gap < 0)
+    active = np.flatnonzero(best > -margin)
     if not len(active):
         return out
     owner = np.searchsorted(ends, active, "right") - 1
     breaks = np.flatnonzero((np.diff(active) > 2 * reach) | (np.diff(owner) > 0)) + 1
-    for part, d in zip(np.split(active, breaks), owner[np.concatenate([[0], breaks])].tolist(), strict=True):
-        lo, hi = max(ends[d], part[0] - reach), min(ends[d + 1], part[-1] + reach + 1)
-        tags = model.decode(e[lo:hi])
-        s, base = texts[d], int(lo - ends[d])
+    parts = [(d, max(ends[d], p[0] - reach), min(ends[d + 1], p[-1] + reach + 1)) for p, d in zip(np.split(active, breaks), owner[np.concatenate([[0], breaks])].tolist(), strict=True)]
+    for (d, lo, _), tags in zip(parts, model.decode([e[lo:hi] for _, lo, hi in parts]), strict=True):
+        s, base, tags = texts[d], int(lo - ends[d]), tags.tolist()
         i = 0
         while i < len(tags):
             if tags[i] == 0:

@@ -159,19 +159,30 @@ class Tagger:
                 self.p[k] -= f32(now) * (m[k] / f32(1 - 0.9**s)) / (np.sqrt(v[k] / f32(1 - 0.995**s)) + f32(1e-8))
         return losses
 
-    def decode(self, e: np.ndarray) -> np.ndarray:
-        """The best tags of one stretch of emissions (steps, tags), which begins and ends outside any span."""
+    def decode(self, stretches: list[np.ndarray], block: int = 256) -> list[np.ndarray]:
+        """The best tags of stretches of emissions (steps, tags), each beginning and ending outside any span."""
         a = self.transitions()
-        n, k = e.shape
-        score = np.where(np.arange(k) % 2 == 0, f32(-1e4), e[0])
-        score[0] = e[0, 0]
-        back = np.empty((n, k), np.int64)
-        for t in range(1, n):
-            m = score[:, None] + a
-            back[t] = m.argmax(0)
-            score = m[back[t], np.arange(k)] + e[t]
-        out = np.empty(n, np.int64)
-        out[-1] = score.argmax()
-        for t in range(n - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+        k = len(a)
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
+        order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
+        for lo in range(0, len(order), block):
+            mine = order[lo : lo + block]
+            n = len(stretches[mine[-1]])
+            e = np.full((n, len(mine), k), -1e4, f32)  # beyond its end a stretch stays outside
+            e[:, :, 0] = 0
+            for j, i in enumerate(mine):
+                e[: len(stretches[i]), j] = stretches[i]
+            score = np.where((np.arange(k) % 2 == 0) & (np.arange(k) > 0), f32(-1e4), e[0])
+            back = np.empty((n, len(mine), k), np.int8)
+            for t in range(1, n):
+                m = score[:, :, None] + a[None]
+                back[t] = m.argmax(1)
+                score = m.max(1) + e[t]
+            tag = score.argmax(1)
+            tags, rows = np.empty((n, len(mine)), np.int64), np.arange(len(mine))
+            for t in range(n - 1, -1, -1):
+                tags[t] = tag
+                tag = back[t, rows, tag] if t else tag
+            for j, i in enumerate(mine):
+                out[i] = tags[: len(stretches[i]), j]
         return out
