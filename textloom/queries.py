@@ -1031,7 +1031,7 @@ def split_md_sections(s, d):
 
 
 @query(r"""WITH e AS (SELECT DISTINCT element_id, text FROM elements WHERE element_type = 'table' AND text IS NOT NULL), l AS (SELECT element_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM e),
-r AS (SELECT element_id, list_transform(string_split(regexp_replace(trim(line), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) AS cells, row_number() OVER (PARTITION BY element_id ORDER BY n) - 1 AS row_no FROM l WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:-]+$')),
+r AS (SELECT element_id, list_transform(string_split(regexp_replace(trim(line, ' '), '^\||\|$', '', 'g'), '|'), lambda c: trim(c, ' ')) AS cells, row_number() OVER (PARTITION BY element_id ORDER BY n) - 1 AS row_no FROM l WHERE regexp_matches(line, '^\s*\|.*\|\s*$') AND NOT regexp_matches(line, '^[\s|:-]+$')),
 v AS (SELECT element_id, count(DISTINCT cells[1]) > 1 AS varies, count(*) AS n FROM r WHERE row_no > 0 GROUP BY element_id)
 SELECT element_id, row_no, CASE WHEN varies OR n = 1 THEN cells[1] ELSE coalesce(cells[2], cells[1]) END AS key, array_to_string(cells, ' | ') AS cells FROM r JOIN v USING (element_id) WHERE row_no > 0""")
 def table_rows_extract(s, d):
