@@ -28,7 +28,7 @@ from textloom.llm.tagger import Tagger
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SNIPPETS, STEPS = 60_000, 1000
-WINDOW, OVERLAP = 224, 32
+WINDOW, OVERLAP = 400, 32
 
 # Common Korean surnames, and word pools of the generator.
 SURNAMES = "김이박최정강조윤장임한신서권황안송류홍오전고문양손배백허유남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용"
@@ -407,25 +407,26 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
     ids = table[a].astype(np.int64)
     if not len(ids):
         return [[] for _ in texts]
-    step = WINDOW - OVERLAP
-    starts = np.concatenate([np.arange(lo, max(lo + 1, hi - OVERLAP), step) for lo, hi in zip(ends, ends[1:], strict=False) if hi > lo])
-    text_end = ends[np.searchsorted(ends, starts, "right")]
-    text_start = ends[np.searchsorted(ends, starts, "right") - 1]
+    size = np.diff(ends)
+    # a text is cut evenly into windows of at most WINDOW characters; windows of like lengths run together
+    n = np.maximum(1, -(-(size - OVERLAP) // (WINDOW - OVERLAP)))
+    step = -(-np.maximum(size - OVERLAP, 1) // n)
+    owner = np.repeat(np.arange(len(texts)), np.where(size > 0, n, 0))
+    no = np.arange(len(owner)) - np.repeat(np.cumsum(np.where(size > 0, n, 0)) - np.where(size > 0, n, 0), np.where(size > 0, n, 0))
+    starts = ends[owner] + no * step[owner]
+    lengths = np.minimum(step[owner] + OVERLAP, ends[owner + 1] - starts)
+    order = np.argsort(lengths, kind="stable")
+    order = order[lengths[order] > 0]
+    # a window owns what is farther from its edges than from its neighbours'
+    begin = np.where(no == 0, 0, OVERLAP // 2)
+    end = np.where(starts + lengths >= ends[owner + 1], lengths, lengths - OVERLAP // 2)
     e = np.empty((len(ids), 2 * len(KINDS) + 1), np.float32)
-    newline = int(table[10])
-    for lo in range(0, len(starts), 1024):
-        s = starts[lo : lo + 1024]
-        pos = s[None] + np.arange(WINDOW)[:, None]
-        inside = pos < text_end[lo : lo + 1024][None]
-        x = np.where(inside, ids[np.minimum(pos, len(ids) - 1)], newline)
-        y = model.emissions(x)
-        y = np.ascontiguousarray(y.transpose(1, 0, 2))
-        # a window owns what is farther from its edges than from its neighbours'
-        begin = np.where(s == text_start[lo : lo + 1024], 0, OVERLAP // 2)
-        last = s + WINDOW >= text_end[lo : lo + 1024]
-        end = np.where(last, text_end[lo : lo + 1024] - s, WINDOW - OVERLAP // 2)
-        for w, (at, b, t) in enumerate(zip(s.tolist(), begin.tolist(), end.tolist(), strict=True)):
-            e[at + b : at + t] = y[w, b:t]
+    for lo in range(0, len(order), 1024):
+        w = order[lo : lo + 1024]
+        pos = np.minimum(starts[w][None] + np.arange(lengths[w[-1]])[:, None], len(ids) - 1)
+        y = np.ascontiguousarray(model.emissions(ids[pos], lengths[w]).transpose(1, 0, 2))
+        for i, (at, b, t) in enumerate(zip(starts[w].tolist(), begin[w].tolist(), end[w].tolist(), strict=True)):
+            e[at + b : at + t] = y[i, b:t]
     e[:, 1:-2:2] += np.float32(bias)  # once a span: the forms of these kinds are checked
     e[:, -2] += np.float32(name_bias)
     best = span_gains(e, ends[:-1][np.diff(ends) > 0], model.transitions())

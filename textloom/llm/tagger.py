@@ -33,8 +33,8 @@ class Tagger:
     def transitions(self) -> np.ndarray:
         return np.where(self.forbidden, f32(-1e4), self.p["trans"])
 
-    def _run(self, ids: np.ndarray, d: str, keep: bool):
-        """States (steps, batch, hidden) of one direction; with ``keep`` also what the gradient needs."""
+    def _run(self, ids: np.ndarray, d: str):
+        """States (steps, batch, hidden) of one direction, and what the gradient needs."""
         n, b = ids.shape
         k = self.hidden
         wx, wh = self.p["x" + d].copy(), self.p["h" + d].copy()
@@ -42,7 +42,7 @@ class Tagger:
         wh[:, : 3 * k] *= f32(0.5)
         h, c = np.zeros((b, k), f32), np.zeros((b, k), f32)
         out = np.empty((n, b, k), f32)
-        kept = (np.empty((n, b, 4 * k), f32), np.empty((n, b, k), f32), np.empty((n, b, k), f32)) if keep else None
+        kept = (np.empty((n, b, 4 * k), f32), np.empty((n, b, k), f32), np.empty((n, b, k), f32))
         z, y = np.empty((b, 4 * k), f32), np.empty((b, 4 * k), f32)
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
             np.take(wx, ids[t], axis=0, out=z)
@@ -52,23 +52,48 @@ class Tagger:
             s = z[:, : 3 * k]
             s += f32(1)
             s *= f32(0.5)
-            if keep:
-                kept[0][t], kept[1][t] = z, c
+            kept[0][t], kept[1][t] = z, c
             c = c * z[:, k : 2 * k]
             c += z[:, :k] * z[:, 3 * k :]
             tc = np.tanh(c)
             h = z[:, 2 * k : 3 * k] * tc
-            if keep:
-                kept[2][t] = tc
+            kept[2][t] = tc
             out[t] = h
         return out, kept
 
-    def emissions(self, ids: np.ndarray) -> np.ndarray:
-        """Scores (steps, batch, tags) of characters (steps, batch)."""
+    def _states(self, ids: np.ndarray, lengths: np.ndarray, d: str) -> np.ndarray:
+        """As ``_run``, for columns of ascending lengths: a column takes part in its own steps only."""
         n, b = ids.shape
-        e = np.tile(self.p["bias"], (n * b, 1))
-        for d in "fb":
-            e += self._run(ids, d, False)[0].reshape(n * b, -1) @ self.p["o" + d]
+        k = self.hidden
+        wx, wh = self.p["x" + d].copy(), self.p["h" + d].copy()
+        wx[:, : 3 * k] *= f32(0.5)
+        wh[:, : 3 * k] *= f32(0.5)
+        h, c = np.zeros((b, k), f32), np.zeros((b, k), f32)
+        out = np.zeros((n, b, k), f32)
+        zs, ys = np.empty((b, 4 * k), f32), np.empty((b, 4 * k), f32)
+        for t in range(n) if d == "f" else range(n - 1, -1, -1):
+            on = int(np.searchsorted(lengths, t, "right"))
+            z, y, cc = zs[on:], ys[on:], c[on:]
+            np.take(wx, ids[t, on:], axis=0, out=z)
+            np.matmul(h[on:], wh, out=y)
+            z += y
+            np.tanh(z, out=z)
+            s = z[:, : 3 * k]
+            s += f32(1)
+            s *= f32(0.5)
+            cc *= z[:, k : 2 * k]
+            cc += z[:, :k] * z[:, 3 * k :]
+            np.tanh(cc, out=y[:, :k])
+            np.multiply(z[:, 2 * k : 3 * k], y[:, :k], out=h[on:])
+            out[t, on:] = h[on:]
+        return out
+
+    def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Scores (steps, batch, tags) of characters (steps, batch), columns in ascending order of length."""
+        n, b = ids.shape
+        e = self._states(ids, lengths, "f").reshape(n * b, -1) @ self.p["of"]
+        e += self._states(ids, lengths, "b").reshape(n * b, -1) @ self.p["ob"]
+        e += self.p["bias"]
         return e.reshape(n, b, -1)
 
     def _crf(self, e: np.ndarray, tags: np.ndarray):
@@ -103,7 +128,7 @@ class Tagger:
     def gradients(self, ids: np.ndarray, tags: np.ndarray):
         n, b = ids.shape
         k = self.hidden
-        runs = {d: self._run(ids, d, True) for d in "fb"}
+        runs = {d: self._run(ids, d) for d in "fb"}
         e = sum(runs[d][0].reshape(n * b, k) @ self.p["o" + d] for d in "fb").reshape(n, b, -1) + self.p["bias"]
         loss, de, da = self._crf(e, tags)
         g = {"trans": da, "bias": de.sum((0, 1))}
