@@ -28,7 +28,7 @@ from textloom.llm.tagger import Tagger
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 SNIPPETS, STEPS = 60_000, 1000
-WINDOW, OVERLAP = 400, 32
+WINDOW, OVERLAP = 800, 32
 
 # Common Korean surnames, and word pools of the generator.
 SURNAMES = "김이박최정강조윤장임한신서권황안송류홍오전고문양손배백허유남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용"
@@ -347,6 +347,12 @@ def folded(s: str) -> tuple[str, np.ndarray | None]:
     table, own, foreign, _ = X._maps()
     if s.isascii() or (unicodedata.is_normalized("NFC", s) and not own.search(s) and not foreign.search(s)):
         return s, None
+    nfd = unicodedata.normalize("NFD", s)
+    if nfd == s and not own.search(s) and not foreign.search(s):  # decomposed and nothing else
+        t = unicodedata.normalize("NFC", s)
+        at = np.zeros(len(t) + 1, np.int64)
+        np.cumsum([len(unicodedata.normalize("NFD", c)) for c in t], out=at[1:])
+        return t, at
     out, at = [], []
     i, n = 0, len(s)
     while i < n:
@@ -360,6 +366,27 @@ def folded(s: str) -> tuple[str, np.ndarray | None]:
     return "".join(out), np.array([*at, n], np.int64)
 
 
+@functools.cache
+def _to_fold() -> np.ndarray:
+    """True for every code point that may make a text need folding: own prototypes, marks, jamo, uncomposed forms."""
+    flags = np.zeros(0x110000, bool)
+    flags[[*X._maps()[0], *map(ord, X.LOOK_ALIKE), *range(0x1100, 0x1200), *range(0x2F800, 0x2FA20)]] = True
+    for code in [*range(0x300, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x1F000), *range(0xE0000, 0xE0200)]:
+        c = chr(code)
+        if unicodedata.category(c)[0] == "M" or not unicodedata.is_normalized("NFC", c):
+            flags[code] = True
+    return flags
+
+
+def folded_all(texts: list[str]) -> list[tuple[str, np.ndarray | None]]:
+    """``folded`` of each text; only texts with a character that needs it are looked at one by one."""
+    a, ends = X.codes(texts)
+    out: list[tuple[str, np.ndarray | None]] = [(s, None) for s in texts]
+    for d in np.unique(np.searchsorted(ends, np.flatnonzero(_to_fold()[a]), "right") - 1).tolist():
+        out[d] = folded(texts[d])
+    return out
+
+
 def checked(s: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
     """The exact edges of a marked span, or nothing if there is no such form about it."""
     if kind == "name":
@@ -421,8 +448,8 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
     begin = np.where(no == 0, 0, OVERLAP // 2)
     end = np.where(starts + lengths >= ends[owner + 1], lengths, lengths - OVERLAP // 2)
     e = np.empty((len(ids), 2 * len(KINDS) + 1), np.float32)
-    for lo in range(0, len(order), 1024):
-        w = order[lo : lo + 1024]
+    for lo in range(0, len(order), 768):
+        w = order[lo : lo + 768]
         pos = np.minimum(starts[w][None] + np.arange(lengths[w[-1]])[:, None], len(ids) - 1)
         y = np.ascontiguousarray(model.emissions(ids[pos], lengths[w]).transpose(1, 0, 2))
         for i, (at, b, t) in enumerate(zip(starts[w].tolist(), begin[w].tolist(), end[w].tolist(), strict=True)):
@@ -460,7 +487,7 @@ def _found(model):
             for lo in range(0, b.num_rows, 2048):
                 p = b.slice(lo, 2048)
                 keys, texts = p.column(0).to_pylist(), p.column(1).to_pylist()
-                fold = [folded(s) for s in texts]
+                fold = folded_all(texts)
                 rows = []
                 for k, (f, at), spans in zip(keys, fold, spans_of([f for f, _ in fold], m), strict=True):
                     rows += [(k, kind, x if at is None else int(at[x]), y if at is None else int(at[y - 1] + 1), f[x:y]) for kind, x, y in spans]
@@ -484,7 +511,7 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            fold = [folded(s) for s in p.text]
+            fold = folded_all(p.text.tolist())
             texts, counts = [], []
             for s, (_, at), spans in zip(p.text, fold, spans_of([f for f, _ in fold], model.value), strict=True):
                 out, last, n = [], 0, 0
