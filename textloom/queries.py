@@ -288,7 +288,7 @@ def bm25_bigram_top10(s, d):
 
 @query("WITH " + bm25_parts(DOCS, QUESTIONS, 1.2, 0.75, True, 1) + " " + ranked_sql("SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM (SELECT query_id FROM q) CROSS JOIN (SELECT doc_id FROM d) LEFT JOIN s USING (query_id, doc_id)", 10))
 def bm25_bigram_candidates(s, d):
-    return lexical.bm25_all_candidates(corpus(s, d), questions(s, d))
+    return lexical.bm25_all_candidates(corpus(s, d, T.bigrams), questions(s, d, T.bigrams))
 
 
 FIELDS = f"""fl AS (SELECT doc_id, 'title' AS field, {words_sql('title')} AS tokens FROM documents WHERE title IS NOT NULL
