@@ -23,3 +23,10 @@ def test_bigram_candidates_score_bigrams(spark, db):
     r = db.sql("WITH " + bm25_parts(DOCS2, QUESTIONS2, 1.2, 0.75, True, 1) + " " + ranked_sql(every, 10))
     df = entry.queries()["bm25_bigram_candidates"](spark, DIR)
     assert rows_of(df.columns, df.collect()) == rows_of(r.columns, r.fetchall())
+
+
+def test_offset_map_has_no_limit(spark, db):
+    asked = db.sql("SELECT item_id, question FROM eval_items WHERE question IS NOT NULL").fetchall()
+    want = {k: ",".join(str(i) for i, c in enumerate(q) if not c.isspace()) for k, q in asked}
+    assert {r.item_id: r.value for r in entry.queries()["str_offset_map"](spark, DIR).collect()} == want
+    assert any(v.count(",") >= 50 for v in want.values())

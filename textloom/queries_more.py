@@ -37,7 +37,7 @@ _text_query("str_variants", lambda c: F.array_join(F.regexp_extract_all(c, F.lit
 _text_query("str_surface_token", lambda c: F.array_join(F.array_distinct(F.filter(F.transform(T.words(c), _stem), lambda w: F.char_length(w).between(4, 14))), " "), f"array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ')", "train350_gold", "qid", "question")
 SQL["str_surface_token"] = f"SELECT qid, array_to_string(list_filter(x, lambda v, i: list_position(x, v) = i), ' ') AS value FROM (SELECT qid, list_filter(list_transform({words_sql('question')}, lambda w: {_STEM}), lambda w: length(w) BETWEEN 4 AND 14) AS x FROM train350_gold WHERE question IS NOT NULL)"
 QUERIES["verify_tokens"], SQL["verify_tokens"] = QUERIES["str_surface_token"], SQL["str_surface_token"]
-_text_query("str_offset_map", lambda c: F.array_join(F.slice(F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substring(c, i, F.lit(1)).alias("ch"))), lambda x: ~x["ch"].rlike(r"^\s?$")), lambda x: (x["i"] - 1).cast("string")), 1, 50), ","), r"array_to_string(list_slice(list_transform(list_filter(range(1, length(question) + 1), lambda i: NOT regexp_matches(substr(question, i, 1), '^\s?$')), lambda i: i - 1), 1, 50), ',')", "eval_items", "item_id", "question")
+_text_query("str_offset_map", lambda c: F.array_join(F.transform(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.struct(i.alias("i"), F.substring(c, i, F.lit(1)).alias("ch"))), lambda x: ~x["ch"].rlike(r"^\s?$")), lambda x: (x["i"] - 1).cast("string")), ","), r"array_to_string(list_slice(list_transform(list_filter(range(1, length(question) + 1), lambda i: NOT regexp_matches(substr(question, i, 1), '^\s?$')), lambda i: i - 1), 1, 50), ',')", "eval_items", "item_id", "question")
 _text_query("str_locate_all", lambda c: F.array_join(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda i: F.substring(c, i, F.lit(2)) == "지급"), lambda i: (i - 1).cast("string")), ","), "array_to_string(list_transform(list_filter(range(1, length(passage) + 1), lambda i: substr(passage, i, 2) = '지급'), lambda i: i - 1), ',')", "eval_items", "item_id", "passage")
 _text_query("date_parse_graded", lambda c: F.coalesce(F.nullif(F.regexp_extract(c, r"((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])[0-3][0-9])", 1), F.lit("")), F.concat(F.lit("20"), F.nullif(F.regexp_extract(c, r"_([0-2][0-9](?:0[1-9]|1[0-2])[0-3][0-9])(?:[^0-9]|$)", 1), F.lit("")))), r"coalesce(nullif(regexp_extract(filename, '((?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])[0-3][0-9])', 1), ''), '20' || nullif(regexp_extract(filename, '_([0-2][0-9](?:0[1-9]|1[0-2])[0-3][0-9])(?:[^0-9]|$)', 1), ''))", "doc_facts", "doc_id", "filename")
 _text_query("predicate_pii", lambda c: F.concat_ws(",", F.when(c.rlike(r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z]"), "email"), F.when(c.rlike(r"01[016789]-[0-9]{3,4}-[0-9]{4}"), "phone"), F.when(c.rlike(r"[0-9]{6}-[1-4][0-9]{6}"), "resident_id")), r"concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z]') THEN 'email' END, CASE WHEN regexp_matches(text, '01[016789]-[0-9]{3,4}-[0-9]{4}') THEN 'phone' END, CASE WHEN regexp_matches(text, '[0-9]{6}-[1-4][0-9]{6}') THEN 'resident_id' END)", "documents", "doc_id")
