@@ -21,6 +21,13 @@ def compact(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), "[^가-힣a-z0-9]", "")
 
 
+def contract_core(c: Column) -> Column:
+    """Compact contract name without markers of its variant, in one spelling."""
+    c = F.regexp_replace(c, r"(?U)\(무배당[^)]*\)|\(간편\)|해약환급금\s*미지급형|갱신형|일반형", "")
+    c = F.replace(compact(c), F.lit("특약"), F.lit(""))
+    return F.replace(F.replace(c, F.lit("허혈성심장질환"), F.lit("허혈심장질환")), F.lit("대상포진진단"), F.lit("대상포진통풍진단"))
+
+
 def without_space(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"\s+", "")
 

@@ -182,8 +182,11 @@ def predicate_gates_surface(s, d):
 @query(f"""SELECT a.element_id, a.contract_scope, b.doc_type AS doc_type FROM elements a JOIN doc_facts b ON a.document_key = b.doc_id
 WHERE length({COMPACT.format('a.contract_scope')}) >= 5 AND contains({COMPACT.format('a.text')}, {COMPACT.format('a.contract_scope')})""")
 def predicate_fuzzy_contains(s, d):
-    e = table(s, d, "elements").select("element_id", "contract_scope", "document_key", T.compact(F.col("text")).alias("t"), T.compact(F.col("contract_scope")).alias("c"))
-    e = e.where("char_length(c) >= 5").where(F.contains("t", "c"))
+    e = table(s, d, "elements").select("element_id", "contract_scope", "document_key", T.contract_core(F.col("text")).alias("t"), T.contract_core(F.col("contract_scope")).alias("c"))
+    anchored = (F.least(F.char_length("c"), F.char_length("t")) >= 5) & F.contains(F.col("t"), F.substring("c", 1, 3)) & F.contains(F.col("t"), F.substring("c", -4, 4))
+    grams = T.trigrams(F.col("c"))
+    shared = F.size(F.filter(grams, lambda g: F.contains(F.col("t"), g))) / F.size(grams) >= 0.72
+    e = e.where("c <> '' and t <> ''").where(F.contains("t", "c") | F.contains("c", "t") | (anchored & shared))
     return e.join(table(s, d, "doc_facts").select(F.col("doc_id").alias("document_key"), "doc_type"), "document_key").select("element_id", "contract_scope", "doc_type")
 
 
