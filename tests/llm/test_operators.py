@@ -173,6 +173,15 @@ def test_paraphrase_is_reported(spark):
     assert [(r.doc_id, r.kind) for r in got] == [(1, "paraphrase")]
 
 
+def test_paraphrase_changed_every_ten_or_eight_characters_is_reported(spark):
+    base = words(7, 50).replace(" ", "")
+    d = spark.createDataFrame([(k, "".join("z" if i % k == k - 1 else c for i, c in enumerate(base)) + " ABC-12345") for k in (10, 8, 4)] + [(1, words(8, 60) + " ABC-12345"), (2, words(9, 60))], "doc_id long, text string")
+    e = spark.createDataFrame([(7, base + " ABC-12345")], "item_id long, passage string")
+    got = {(r.doc_id, r.kind) for r in leaks.leaks(d, e, paraphrases=True).collect()}
+    assert got == {(10, "paraphrase"), (8, "paraphrase")}
+    assert leaks.leaks(d, e).count() == 0
+
+
 def test_svd_and_lcs(spark):
     r = np.random.default_rng(0)
     a = (r.random((15, 40)) < 0.2) * r.random((15, 40))

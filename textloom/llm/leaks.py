@@ -8,7 +8,9 @@ the latent space and is a candidate of a passage if its component along the pass
 the weakest 60 characters of that passage would give it. Directions outside the space of the passages add nothing to
 that product, so the space needs no corpus rows; windows whose whole weight is too small for any passage are
 dismissed before the projection. Candidates are then checked exactly: a common run of ``least`` plain characters is a
-leak, else the longest common subsequence and the passage's codes and amounts (its answer) tell a paraphrase.
+leak. A paraphrase has a common subsequence of 0.8 of the passage and half of its codes and amounts (its answer); no
+run of characters follows from that, so paraphrases are not looked for among the candidates: every text that holds half
+of a passage's answer is compared, after the bound that the characters in common set.
 
 The passages are broadcast: at most ``MAX_ITEMS``, else an error. Nulls: rows with a null id or text, and passages
 under ``least`` plain characters, match nothing. Repeated items and documents count once. Empty tables give no rows.
@@ -17,6 +19,7 @@ under ``least`` plain characters, match nothing. Repeated items and documents co
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +132,27 @@ def lcs_length(a: str, b: str) -> int:
 _ANSWER = re.compile(r"[A-Z]{2,4}-?\d{4,6}|\d[\d,.]*\d(?:만)?|\d+%")
 
 
+_ANSWER_PARTS = re.compile(r"[A-Z\d,.%만-]{2,}")
+
+
+def _answered(raw: list[str], asked: list[tuple[str, list[int]]], sizes: list[int]) -> Iterator[tuple[int, int, float]]:
+    """Text, passage and share of its answers where the text holds half of them; ``asked``: an answer, its passages.
+
+    An answer lies within one run of the characters that answers are made of.
+    """
+    for d, text in enumerate(raw):
+        parts, found = " ".join(_ANSWER_PARTS.findall(text)), Counter()
+        for a, of in asked:
+            if a in parts:
+                found.update(of)
+        yield from ((d, i, n / sizes[i]) for i, n in found.items() if n >= 0.5 * sizes[i])
+
+
+def _shared_characters(a: str, b: str) -> int:
+    """Common characters counted with repeats: no common subsequence is longer."""
+    return (Counter(a) & Counter(b)).total()
+
+
 def _search(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
@@ -179,14 +203,16 @@ def _search(model):
             rows = []
             for d, i in sorted(set(out)):
                 p, s = plains[i], texts[d]
-                exact = any(p[j : j + least] in s for j in range(len(p) - least + 1))
-                if exact:
+                if any(p[j : j + least] in s for j in range(len(p) - least + 1)):
                     rows.append((keys[d], ids[i], "exact", 1.0, 1.0))
-                elif paraphrase:
-                    share = sum(a in raw[d] for a in answers[i]) / len(answers[i]) if answers[i] else 0.0
-                    like = lcs_length(p, s) / len(p)
-                    if like >= 0.8 and share >= 0.5:
-                        rows.append((keys[d], ids[i], "paraphrase", like, share))
+            if paraphrase:
+                told = {(k, i) for k, i, *_ in rows}
+                for d, i, share in _answered(raw, m["asked"], [len(a) for a in answers]):
+                    p, s = plains[i], texts[d]
+                    if (keys[d], ids[i]) not in told and _shared_characters(p, s) >= 0.8 * len(p):
+                        like = lcs_length(p, s) / len(p)
+                        if like >= 0.8:
+                            rows.append((keys[d], ids[i], "paraphrase", like, share))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64())], ["doc_id", "item_id", "kind", "common", "answer"])
 
@@ -242,5 +268,9 @@ def leaks(documents: DataFrame, items: DataFrame, least: int = 60, rank: int = 3
     basis = _times(term, item, idf[term], directions)
     latent = np.stack([idf[u] @ basis[u] for u in vectors]).astype(np.float32)
     answers = [sorted(set(_ANSWER.findall(p))) for _, p, _ in kept]
-    model = {"terms": terms, "idf": idf, "term": term, "item": item, "directions": directions, "latent": latent, "bar": np.array(bars, np.float32) * tolerance, "ids": [i for i, _, _ in kept], "plains": plains, "answers": answers, "least": least, "paraphrase": paraphrases}
+    asked = defaultdict(list)
+    for i, own in enumerate(answers):
+        for a in own:
+            asked[a].append(i)
+    model = {"asked": list(asked.items()), "terms": terms, "idf": idf, "term": term, "item": item, "directions": directions, "latent": latent, "bar": np.array(bars, np.float32) * tolerance, "ids": [i for i, _, _ in kept], "plains": plains, "answers": answers, "least": least, "paraphrase": paraphrases}
     return docs.mapInArrow(_search(sc.broadcast(model)), empty.schema).distinct()
