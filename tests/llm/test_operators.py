@@ -134,6 +134,11 @@ def test_split_overlap(spark):
     assert split_overlap.overlaps(*[f.limit(0) for f in frames]).count() == 0
 
 
+def test_blocks_lose_few_pairs_at_the_threshold():
+    assert (1 - 0.7**split_overlap.LANES) ** split_overlap.BLOCKS < 0.0005
+    assert split_overlap.RADIUS >= 22
+
+
 # ---- 5
 
 

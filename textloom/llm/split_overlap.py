@@ -1,8 +1,8 @@
 """Problem 4: the same or nearly the same records across splits, by similarity-hash bit fingerprints.
 
-A question's fingerprint is a similarity hash of its 3-character substrings: 240 lanes of 32 bits, each lane equal
-in two questions with a probability that is their likeness. It is cut into 40 blocks of six lanes; blocks are joined
-across the splits, which finds a likeness of 0.7 with 99.3 %, of 0.8 with 99.999 %. Pairs met must be within the
+A question's fingerprint is a similarity hash of its 3-character substrings: 384 lanes of 32 bits, each lane equal
+in two questions with a probability that is their likeness. It is cut into 64 blocks of six lanes; blocks are joined
+across the splits, which finds a likeness of 0.7 with 99.97 %, of 0.8 but for 4 in 10^9. Pairs met must be within the
 Hamming radius on a 64-bit code of the same lanes; the exact likeness of the texts decides.
 
 Equal questions form one class before blocks are made, so a question that a third of the records ask meets the
@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm import text as X
 
-BLOCKS, LANES = 40, 6
+BLOCKS, LANES = 64, 6
 #: Bytes of a block's key, and so of what is moved for each text and block.
 KEY_BYTES = 5
 #: Expected differences of 64 bits at likeness 0.7: 9.6, deviation 2.9.
-RADIUS = 19
+RADIUS = 22
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
