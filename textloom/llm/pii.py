@@ -1,10 +1,12 @@
 """Problem 8: personal information inside free text, found by a character-level BiLSTM with CRF transitions.
 
 The tagger is trained in numpy, once a process, from ``SNIPPETS`` labelled spans written by a seeded generator (the
-bound on labelled rows; it does not depend on the tables). Every text is read whole, as overlapping windows; each
-character takes its emission from the window in which it lies farther from an edge, and the stitched emissions are
-decoded along the text. Every span is then checked against the form of its kind, which also sets its exact edges;
-a span that has no such form is dropped, and nothing is found that the tagger did not mark.
+bound on labelled rows; neither it nor its sentences depend on the tables). Every text is read whole, as overlapping
+windows; each character takes its emission from the window in which it lies farther from an edge, and the stitched
+emissions are decoded along the text. Only characters that no span of the best path can cover are left out of the
+decoding (``covered`` proves it), so the result is that of decoding everything. Every span is then checked against the
+form of its kind, which also sets its exact edges; a span that meets no such form is dropped, and nothing is found
+that the tagger did not mark.
 
 Full-width forms, invisible characters and decomposed letters are folded before, with offsets into the original.
 Nulls: rows with a null id or text are left out; empty and blank texts have no mentions. Offsets count code points.
@@ -24,282 +26,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import text as X
+from textloom.llm.carriers import KINDS, SURNAMES, Writer, own_characters
 from textloom.llm.tagger import Tagger
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-SNIPPETS, STEPS = 60_000, 1000
+SNIPPETS, STEPS, HIDDEN = 60_000, 2200, 20
 WINDOW, OVERLAP = 800, 32
-
-# Common Korean surnames, and word pools of the generator.
-SURNAMES = "김이박최정강조윤장임한신서권황안송류홍오전고문양손배백허유남심노하곽성차주우구민진지엄채원천방공현함변염여추도소석선설마길연위표명기반왕금옥육인맹제모탁국어은편용"
-GIVEN = "솔담빛참늘굽맑숲뜰결샘뭇여늦무온돌벼새울찬솜꽃별밭름늬민서준지우하윤도현수아은영진호경미성재연주혜나라보람슬기철상희정태훈원석규동건"
-SYLLABLES = "가나다라마바사아자차하고노도로모보소오조호구누두루무부수우주후기니디리미비시이지히림늘단별혜결슬빛온율겸넬담찬선해한란젠멘겔솔곡넘연탄벌텔칼델홀숨펜논낙돌갈팔빌봄새샘벼룬누"
-LATIN_ONSETS = ("b", "br", "d", "dr", "f", "g", "gl", "h", "k", "l", "m", "n", "p", "qu", "r", "s", "sk", "t", "th", "v", "w")
-LATIN_RIMES = ("ae", "ia", "ou", "ei", "a", "e", "i", "o", "u")
-LATIN_ENDS = ("", "th", "rd", "sk", "x", "ll", "ne", "m", "ck", "st", "n", "r")
-
-
-class Writer:
-    """Snippets with labelled spans, from templates whose slots are ``{kind}`` or plain fillers ``<filler>``."""
-
-    # The carrier sentences that mentions are written into, and sentences without any.
-    KO = (
-        "담당 설계사 {name}, 연락처 {phone}, 전자우편 {email}로 <code> 서류 회신 바람.",
-        "문의는 {email} 또는 {phone}번으로 하시고 <w>창구는 닫혀 있습니다.",
-        "접수번호 <code>: 신분 확인 {id_number}, 회신처 {email}",
-        "<w>궤양 관련 회신은 [{email}] 참조, 급하면 {phone}",
-        "<w>소작술 이후 {name} 님께 전화({phone})하였으나 받지 않아 {email}로 안내문 발송.",
-        "휴대전화={phone};메일={email};건=<code>",
-        "보낸이 {name} <{email}>, 받는이 <w>심사팀",
-        "상담 기록: {name} 고객님({phone})이 <w>급여금 청구를 문의함.",
-        "계약자 {name}({id_number})의 <w>특약 변경 신청을 <w>센터장실에서 접수.",
-        "신청인({name}, {id_number})은 <w>특약 해지를 원한다고 적었다.",
-        "본인확인번호 {id_number}를 <w>란에 적은 사본은 폐기할 것.",
-        "피보험자 성명: {name} / 주민등록번호: {id_number} / 주소: {address}",
-        "자택은 {address}이며 낮에는 {phone}, 밤에는 {phone}.",
-        "{phone} 통화 후 <w>종양 소견을 <w>서식에 옮김.",
-        "배송지: {address} (<w>층 수령), 받는 분 {name}",
-        "<w>감염 진단서 원본은 {address} 앞으로 보내 달라고 {name} 씨가 요청하였다.",
-        "수익자 주소가 {address}에서 <w>구역으로 바뀌었는지 확인 요망.",
-        "증인 {name}은 <w>사고 당시 {address}에 살았다.",
-        "{name}·{name} 공동 수익자로 <w>보험금 지급 요청.",
-        "{name} 씨, {address}, 전화 {phone}, 메일 {email}.",
-        "고객 {name}({phone})에게 {email}로 다시 알림.",
-        "{name} 고객이 <w>종양 서류를 <w>창구에 냈다.",
-        "어제 {name} 선생님이 <w>배액술을 설명하였다.",
-        "제 이름은 {name}이고 <w>수술을 받았습니다.",
-        "{name} 과장이 <w>건을 검토하였다.",
-    )
-    EN = (
-        "Contact: {name}, tel {phone}, mail {email}.",
-        "Claimant Mr. {name}, identity no. {id_number}, reported <v> <ill>.",
-        "Ms. {name} lives at {address}; reach them via {email}.",
-        "Applicant {name} (id {id_number}) asks for the <v> waiver.",
-        "Signed by Dr. {name} for <v> <ill> review <code>.",
-        "My name is {name} and my number is {phone}.",
-        "We met {name} and {name} over the <v> dispute.",
-        "Case note: {name} called from {phone} about the <v> <pay>.",
-        "The <v> desk left word on {phone} and wrote to {email}.",
-        "Send the <v> form to {address} and copy {email}.",
-        "{name} wrote that the <v> <pay> never reached {address}.",
-    )
-    KO_NONE = (
-        "<w>수술특약의 <w>급여금은 <n>일 한도로 <w> 기준(<code>)에 계산한 금액으로 다시 심사합니다.",
-        "보험대상자가 <w>증후군으로 <w>생검술을 받은 경우에는 <w>급여금을 기일 안에 감액합니다.",
-        "별표 <n>에 적힌 <w>질환은 <code> 분류를 따르며 <w>소작술 여부와 <w>값을 별도 절차로 본다.",
-        "청구권자는 <w> 서류(<code>)를 <w>센터장실에 <n>일 안에 서면으로 철회할 수 있습니다.",
-        "<w>특약 해지 때 <w>적립액의 <n>%를 <w>급여금에서 빼고 나누어 지급합니다.",
-        "<w>등급 <n>세 이상 보험수익자의 <w>성형술은 <w>특약에서 연 <n>회 안에 지급하지 않습니다.",
-        "① <w>출혈, ② <w>낭종, ③ <w>고정술 후유는 <code> 표의 <w>항으로 보류할 수 있습니다.",
-        "<n>세 이전 <w>병력은 <w>심사에서 <w>안심보험 할증 <n>%로 한꺼번에 본다.",
-        "<w>사고일에서 <n>일 지난 <w>절제술은 <w>병원 회신(<code>)이 있어야 드립니다.",
-        "회사는 <w>염 진단 후 <n>개월 이내 <w>배액술 기록이 없으면 <w>자금을 지급합니다.",
-        "<w>건강보험 가입일부터 <n>일 동안 생긴 <w>염은 <w>보험금의 <n>%만 확인을 거쳐 지급합니다.",
-        "<w>해급여금 <won>원은 <w>협회 확인일에 <w>특약으로 정한 바에 따라 드립니다.",
-        "증권번호 L<long>, 서식 <n4>-<n4>에 따라 <w>항을 본다.",
-        "개정일 2024-03-15, 고시 제<n4>-<n4>호, <w>판 배포.",
-        "심사번호 <n12>-<w>는 <won>원 건이다.",
-        "버전@<n4> 및 <code>@<w>표를 대조한다.",
-        "<city> 소재 <w>심사원에서 <w>신생물 자료를 모은다.",
-        "담당자 확인 후 피보험자 본인이 <w>자금을 청구한다.",
-        "# 제<n>조의<n> (보험금의 지급사유)",
-        "## 제<n>조 (용어의 정의)",
-        "# 제<n>조의<n> (용어의 정의)",
-        "## 제<n>조 (보험금의 청구)",
-        "제<n>조 (계약의 소멸)",
-        "제<n>조 (<w>의 범위)",
-        "## [부표 <n>] <w> 분류표",
-        "계약자 변경은 <w>특약 약관 제<n>조를 따른다.",
-        "계약자와 피보험자가 다른 <w>계약은 <w>창구에서 확인한다.",
-        "<w>이식술이 <w>기관 밖에서 이루어진 경우에 한하여 <w>자금 중 <won>원을 감액합니다.",
-        "<w>재건술이 <w>병원 밖에서 이루어진 상태가 이어지면 <w>지원금 중 <won>원을 드립니다.",
-        "피보험자가 <w>손상으로 <w>조영술을 받은 사실이 확인되면 <w>자금을 지급합니다.",
-        "제<n>조에도 불구하고 <w>협착증과 <w>손상이 겹치면 <w>지원금 한 가지만 기일 안에 드립니다.",
-        "<w>병원 소견이 <w>출혈과 다르면 <w>위원의 판정(<code>)을 확인을 거쳐 제출하여야 합니다.",
-        "| <w>증 | <n>일 | <code> |",
-        "법정상속인 대표가 <w>고지를 어기고 <w>종신보험에 든 날부터는 <w> 보장은 <n>개월 뒤 드립니다.",
-        "<w>이식술이 <w>의료원 밖에서 이루어진 때에는 <w>급여금 중 <won>원을 드립니다.",
-        "β-<w> 계열 약제를 쓴 <w>감염 환자는 <w>우회술 뒤 <w>자금을 나누어 감액합니다.",
-        "<w>기간 <n>개월을 둔 뒤 <w>봉합술마다 <w>급여금을 다시 심사합니다.",
-        "- <n> -",
-    )
-    EN_NONE = (
-        "A <v> audit of <n> policies found <v> <ill> paid as <v> <pay>.",
-        "Under clause <n> the <v> rider limits <v> <pay> to <n> visits for <v> <ill>.",
-        "The insured may claim the <v> <pay> when <v> <ill> is confirmed by <v> panels within <n> days.",
-        "Claims for <v> <ill> filed with form <code> go to the <v> desk before <n> days pass.",
-        "Retrieval over <v> terms maps <v> <ill> to <v> <pay> in table <code>.",
-        "No <v> <pay> is due where <v> therapy replaced <v> surgery for <v> <ill>.",
-        "The <v> <pay> of <v> falls by <n> percent if <v> records omit <v> <ill>.",
-        "<V> scoring ranks <v> <pay> above <v> <pay> once <v> <ill> recurs.",
-        "The beneficiary is denied <v> cover, <v> code <code>, unless <v> <ill> predates <v> entry.",
-        "See build v2@<v> and table <n>-<n> for the <v> <pay>.",
-        "The street of <v> claims runs through clause <n>.",
-    )
-
-    def __init__(self, seed: int):
-        self.r = np.random.Generator(np.random.PCG64(seed))
-
-    def pick(self, xs):
-        return xs[int(self.r.integers(len(xs)))]
-
-    def chance(self, p: float) -> bool:
-        return self.r.random() < p
-
-    def digits(self, n: int) -> str:
-        return "".join(map(str, self.r.integers(0, 10, n)))
-
-    def hangul(self, lo: int, hi: int) -> str:
-        return "".join(self.pick(SYLLABLES) if self.chance(0.9) else chr(int(self.r.integers(0xAC00, 0xD7A4))) for _ in range(int(self.r.integers(lo, hi))))
-
-    def latin(self) -> str:
-        w = "".join(self.pick(LATIN_ONSETS) + self.pick(LATIN_RIMES) + self.pick(LATIN_ENDS) for _ in range(int(self.r.integers(1, 3))))
-        return w if self.chance(0.95) else w.replace("e", "é").replace("u", "ü")
-
-    def filler(self, what: str) -> str:
-        match what:
-            case "w":
-                return self.hangul(2, 6)
-            case "v":
-                return self.latin()
-            case "V":
-                return self.latin().capitalize()
-            case "code":
-                return "".join(chr(65 + int(x)) for x in self.r.integers(0, 26, int(self.r.integers(2, 4)))) + self.pick(("-", "-", "")) + self.digits(int(self.r.integers(4, 6)))
-            case "n":
-                return str(int(self.r.integers(1, 1000)))
-            case "n4":
-                return self.digits(4)
-            case "n12":
-                return self.digits(int(self.r.integers(11, 13)))
-            case "long":
-                return f"{self.digits(4)}-{self.digits(self.pick((4, 5)))}-{self.digits(4)}"
-            case "won":
-                return self.pick((f"{int(self.r.integers(100, 9999)):,}만", f"{int(self.r.integers(100, 9999)):,},000"))
-            case "ill":
-                return self.pick(("ulcer", "stenosis", "lesion", "fracture", "embolism", "neuropathy", "fibrosis", "syndrome", "atrophy"))
-            case "pay":
-                return self.pick(("benefit", "allowance", "waiver", "care grant", "lump sum", "indemnity", "rider payment"))
-            case "city":
-                return self.city()[0]
-        raise ValueError(what)
-
-    def city(self) -> tuple[str, str]:
-        w = self.hangul(1, 4)
-        if self.chance(0.3):
-            return w + "도 " + self.hangul(2, 3) + self.pick("시군"), w + "도"
-        return (w + self.pick(("시", "시", "특별시", "광역시")),) * 2
-
-    def name(self, korean: bool) -> str:
-        if korean:
-            parts = [self.pick(SURNAMES[:20] if self.chance(0.8) else SURNAMES)] + [self.pick(GIVEN) if self.chance(0.8) else self.hangul(1, 2) for _ in range(2 if self.chance(0.98) else 1)]
-            return (" " if self.chance(0.12) else "").join(parts)
-        first = self.pick((self.latin().capitalize(), self.latin().capitalize() + self.pick(("in", "is", "el", "ra", "ric")), self.pick("ABCDEFGHJKLMNOPQRSTW") + "."))
-        middle = f" {self.pick('ABCDEFGHJKLMOPRSTW')}." if self.chance(0.25) and not first.endswith(".") else ""
-        return f"{first}{middle} {self.latin().capitalize()}{self.pick(('dale', 'mer', 'wick', 'moor', 'holt', 'by', 'in', 'er', 'ton', 'rick'))}"
-
-    def phone(self, korean: bool) -> str:
-        a, b = self.digits(4), self.digits(4)
-        if korean:
-            if self.chance(0.2):
-                return self.pick(("+82-10-{}-{}", "+82 10-{}-{}", "+82 10 {} {}", "+8210{}{}")).format(a, b)
-            if self.chance(0.2):
-                return self.pick(("(02) {}-{}", "(031) {}-{}", "(02){}-{}")).format(a, b)
-            s = self.pick(("-", "-", ".", " ", ""))
-            return s.join((self.pick(("010", "010", "011", "031", "02", "070", "051")), a, b))
-        area = self.digits(3)
-        s = self.pick(("-", ".", " "))
-        local = f"{self.pick(('555', self.digits(3)))}{s}{b}"
-        return self.pick((f"+1{s if s != '.' else '-'}{area}{s}{local}", f"({area}) {local}", f"{area}{s}{local}", f"{area}{s}{local}"))
-
-    def id_number(self, korean: bool) -> str:
-        if korean:
-            date = f"{self.digits(2)}{int(self.r.integers(1, 13)):02}{int(self.r.integers(1, 29)):02}"
-            return date + self.pick(("-", "-", "-", "", " ", "–", " - ", "·")) + self.digits(7)
-        s = self.pick(("-", "-", "-", " ", "–", ""))
-        return f"{self.digits(3)}{s}{self.digits(2)}{s}{self.digits(4)}"
-
-    def email(self, korean: bool) -> str:
-        own = self.pick((self.latin(), self.latin() + self.pick("._-") + self.latin(), self.pick("abjkos") + "." + self.latin(), "o.s" + self.pick("._-") + self.latin()))
-        own += self.digits(int(self.r.integers(1, 4))) if self.chance(0.3) else ""
-        own += "+" + self.latin() if self.chance(0.2) else ""
-        host = self.pick((f"{self.latin()}.test", f"corp.{self.latin()}.test", f"{self.latin()}.example", f"{self.latin()}-{self.latin()}.example", f"{self.latin()}.invalid", f"{self.latin()}.com", f"{self.latin()}.co.kr"))
-        at, dot = "@", "."
-        if self.chance(0.25):
-            at = self.pick(("[at]", " (at) ", " at ", "(at)", " [at] ", " 골뱅이 "))
-            if self.chance(0.6):
-                dot = self.pick(("[dot]", "(dot)", "[dot]", " dot "))
-        out = (own if self.chance(0.5) else own.replace(".", dot)) + at + host.replace(".", dot)
-        return out.upper() if self.chance(0.07) else out
-
-    def address(self, korean: bool) -> str:
-        if not korean:
-            street = f"{int(self.r.integers(1, 420))} {self.latin().capitalize()} {self.pick(('Lane', 'Road', 'Street', 'Drive', 'Avenue', 'Court', 'Way'))}"
-            town = self.latin().capitalize() + (" " + self.latin().capitalize() if self.chance(0.4) else "")
-            return f"{street}, {town}" + (f", BX {self.digits(5)}" if self.chance(0.5) else "")
-        head = f"{self.city()[0]} {self.hangul(2, 4)}{self.pick(('구', '구', '면', '읍'))}"
-        if self.chance(0.25):
-            return f"{head} {self.hangul(2, 4)}{self.pick('동리')} {int(self.r.integers(1, 900))}-{int(self.r.integers(1, 60))}"
-        road = f"{head} {self.hangul(2, 4)}{self.pick(('로', '길', '대로'))} {int(self.r.integers(1, 300))}"
-        if self.chance(0.15):
-            road += f"번길 {int(self.r.integers(1, 60))}"
-        return road + self.pick(("", "", f", {int(self.r.integers(100, 130))}동 {int(self.r.integers(100, 2500))}호", f" ({int(self.r.integers(2, 20))}층)"))
-
-    _SLOT = re.compile(r"\{(\w+)\}|<(w|v|V|code|n|n4|n12|long|won|ill|pay|city)>")
-
-    def sentence(self, template: str, korean: bool) -> tuple[str, list[int]]:
-        text, tags, at = [], [], 0
-        for m in self._SLOT.finditer(template):
-            gap = template[at : m.start()]
-            text.append(gap)
-            tags += [0] * len(gap)
-            if m[1]:
-                v = getattr(self, m[1])(korean)
-                k = KINDS.index(m[1])
-                tags += [2 * k + 1] + [2 * k + 2] * (len(v) - 1)
-            else:
-                v = self.filler(m[2])
-                tags += [0] * len(v)
-            text.append(v)
-            at = m.end()
-        text.append(template[at:])
-        tags += [0] * len(template[at:])
-        out = "".join(text)
-        if not korean and self.chance(0.04):
-            out = out.upper()
-        if self.chance(0.03):  # stray blanks of scanned pages
-            keep = [(c, t) for c, t in zip(out, tags, strict=True)]
-            noisy: list[tuple[str, int]] = []
-            for c, t in keep:
-                noisy.append((c, t))
-                if self.chance(0.05):
-                    noisy.append((" ", t + 1 if t % 2 else t))
-            out, tags = "".join(c for c, _ in noisy), [t for _, t in noisy]
-        return out, tags
-
-    def passage(self, length: int) -> tuple[str, list[int]]:
-        text, tags = "", []
-        while len(text) < length:
-            korean = self.chance(0.5)
-            some = self.chance(0.6)
-            pool = (self.KO if some else self.KO_NONE) if korean else (self.EN if some else self.EN_NONE)
-            s, t = self.sentence(self.pick(pool), korean)
-            gap = self.pick((" ", " ", "\n", "\n\n"))
-            text, tags = text + s + gap, tags + t + [0] * len(gap)
-        cut = int(self.r.integers(0, len(text) - length + 1))
-        part, kept = text[cut : cut + length], tags[cut : cut + length]
-        return part, kept
+#: Added to the score of a begin of the kinds that have a form, as the form is checked after.
+BIAS = 1.5
 
 
 @functools.cache
 def alphabet() -> np.ndarray:
     """A number for every code point: printable ASCII, the syllables of the carriers, and classes for the rest."""
     table = np.full(0x110000, 1, np.uint16)
-    own = sorted({c for s in (*Writer.KO, *Writer.KO_NONE, SURNAMES, GIVEN, "시도군구면읍동리로길번호층특별광역대골뱅이·–…①②③“”") for c in s} | {chr(c) for c in range(32, 127)} | {"\n"})
+    own = own_characters()
     table[0xAC00:0xD7A4] = 2
     table[0xC0:0x250] = 3
     for i, c in enumerate(own):
         table[ord(c)] = 4 + i
+    for code in range(0x660, 0x1FBFA):  # digits of other scripts
+        if chr(code).isdecimal():
+            table[code] = table[ord("0") + unicodedata.decimal(chr(code))]
     return table
 
 
@@ -308,20 +55,20 @@ def trained(snippets: int = SNIPPETS, steps: int = STEPS, seed: int = 11, length
     """The tagger after ``steps`` batches of the labelled snippets."""
     w, table = Writer(seed), alphabet()
     batch = 96
-    made = [w.passage(length) for _ in range(min(snippets, steps * batch))]
+    made = [w.passage(length) for _ in range(min(snippets, steps * batch))]  # more steps see them again
     ids = np.stack([table[X.codes([s])[0]] for s, _ in made]).astype(np.int64)
     tags = np.array([t for _, t in made])
     # a span cut by the window's begin has no B; its first character becomes one
     first = tags[:, 0]
     tags[:, 0] = np.where((first > 0) & (first % 2 == 0), first - 1, first)
-    model = Tagger(int(table.max()) + 1, 2 * len(KINDS) + 1)
+    model = Tagger(int(table.max()) + 1, 2 * len(KINDS) + 1, HIDDEN)
     r = np.random.Generator(np.random.PCG64(seed))
 
     def batches():
         for _ in range(steps):
             rows = r.integers(0, len(made), batch)
             x = ids[rows].T.copy()
-            rare = (r.random(x.shape) < 0.03) & (x > 130)  # unseen syllables
+            rare = (r.random(x.shape) < 0.03) & (x > 130)  # syllables of no carrier
             x[rare] = 2
             yield x, tags[rows].T
 
@@ -330,40 +77,51 @@ def trained(snippets: int = SNIPPETS, steps: int = STEPS, seed: int = 11, length
 
 
 # Fixed forms: what a mention of each kind looks like.
-_D = r"[ ]?\d"
 FORMS = {
-    "email": re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+_-]|(?:\.|\s?[\[(]dot[\])]\s?| dot )(?=[A-Za-z0-9]))*\s{0,2}(?:@|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s)|골뱅이)\s{0,2}[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?| dot )[A-Za-z0-9-]+)+", re.I),
+    "email": re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9](?:[A-Za-z0-9+_-]|(?:\.|\s?[\[(]dot[\])]\s?| dot )(?=[A-Za-z0-9]))*+\s{0,2}(?:@|[\[(]\s?at\s?[\])]|(?<=\s)at(?=\s)|골뱅이)\s{0,2}[A-Za-z0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?| dot )[A-Za-z0-9-]+)+", re.I),
     "phone": re.compile(r"(?<![\dA-Za-z-])(?:\+\s?82[-. ]?\(?0?\)?1?\d{1,2}[-. ]?\d{3,4}[-. ]?\d{4}|\(0\d{1,2}\)[-. ]?\d{3,4}[-. ]?\d{4}|0\d{1,2}[-. ]?\d{3,4}[-. ]?\d{4}|(?:\+\s?1[-. ]?)?(?:\(\d{3}\)[-. ]?|\d{3}[-. ])\d{3}[-. ]\d{4})(?![\d-])"),
     "id_number": re.compile(r"(?<![\dA-Za-z-])(?:\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\s?[-–—·./]?\s?\d{7}|\d{3}[-–—·. ]?\d{2}[-–—·. ]?\d{4})(?!\d)"),
-    "address": re.compile(r"[가-힣]{1,6}(?:특별시|광역시|도|시)\s+(?:[가-힣]{1,6}[시군구읍면]\s+){1,3}[가-힣]{1,8}(?:로|길|동|리)\s?\d{1,4}(?:-\d{1,4})?|(?<![\w-])\d{1,5} [A-Z][A-Za-z]+ (?:[A-Z][A-Za-z]+ )?(?:Lane|Road|Street|Drive|Avenue|Court|Way|Place|Square)\b", re.I),
-    "name": re.compile(r"[가-힣](?: ?[가-힣]){1,3}|(?:[A-Z]\.|[A-Z][a-zA-Z'-]+) (?:[A-Z]\. )?[A-Z][a-zA-Z'-]+"),
+    "address": re.compile(r"[가-힣]{1,8}(?:특별시|광역시|도|시)\s+(?:[가-힣]{1,6}[시군구읍면]\s+){1,3}[가-힣]{1,8}(?:로|길|동|리)\s?(?:산\s?)?\d{1,4}(?:-\d{1,4})?|(?<![\w-])\d{1,5} (?:[^\W\d_]+ ){1,3}(?:Lane|Road|Street|Drive|Avenue|Court|Way|Place|Square|Close|Terrace|Boulevard|Row|St|Rd|Ave|Dr|Ln|Blvd)\b", re.I),
+    "name": re.compile(r"(?:남궁|황보|제갈|사공|선우|서문|독고|동방)[가-힣]{2}|[가-힣](?: ?[가-힣]){2}|[가-힣] ?[가-힣]|(?:[A-Z]\.|[A-Z][^\W\d_]*(?:['-][^\W\d_]+)*) (?:[A-Z]\. )?[A-Z][^\W\d_]*(?:['-][^\W\d_]+)*"),
 }
-_AFTER_NAME = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|께|에게|씨|님|께서|(?:이?[고며다나라]|입|이었|였)[가-힣]{0,3})?(?![가-힣])")
-_TITLES = re.compile(r"(?:(?:Mr|Ms|Mrs|Dr)\.? |(?:성명|이름|고객|계약자|신청인|설계사|보낸이|증인|피보험자|받는 분)[ :]*)", re.I)
+_AFTER_NAME = re.compile(r"(?:은|는|이|가|을|를|의|와|과|도|만|께|에게|한테|씨|님|께서|이?(?:고|며|다|나|라|라고|라는|라며)|인|인데|입니다|이었다|였다)?(?![가-힣])")
+_TITLE_AFTER = re.compile(r" ?(?:씨|님|군|양|여사|선생|고객|과장|부장|팀장|대리|대표|교수|기사|원장)")
+_TITLES = re.compile(r"(?:(?:Mr|Ms|Mrs|Dr|Prof)\.? |(?:성명|이름|고객|계약자|신청인|설계사|보낸이|증인|피보험자|받는 분)[ :]*)", re.I)
+
 
+def folded(s: str, wanted: np.ndarray | None = None) -> tuple[str, np.ndarray | None]:
+    """One code point a letter, with offsets into ``s`` (null if they are the same).
 
-def folded(s: str) -> tuple[str, np.ndarray | None]:
-    """One code point a letter, with offsets into ``s`` (null if they are the same)."""
-    table, own, foreign, _ = X._maps()
-    if s.isascii() or (unicodedata.is_normalized("NFC", s) and not own.search(s) and not foreign.search(s)):
+    Only clusters (a character with the marks and jamo after it) at the flagged offsets ``wanted`` are looked at.
+    """
+    if wanted is None:
+        wanted = np.flatnonzero(_to_fold()[X.codes([s])[0]])
+    if not len(wanted):
         return s, None
-    nfd = unicodedata.normalize("NFD", s)
-    if nfd == s and not own.search(s) and not foreign.search(s):  # decomposed and nothing else
-        t = unicodedata.normalize("NFC", s)
-        at = np.zeros(len(t) + 1, np.int64)
-        np.cumsum([len(unicodedata.normalize("NFD", c)) for c in t], out=at[1:])
-        return t, at
+    table = X._maps()[0]
+    n, last = len(s), 0
     out, at = [], []
-    i, n = 0, len(s)
-    while i < n:
+    for w in wanted.tolist():
+        if w < last:
+            continue
+        i = w
+        while i > last and _joins(s[i]):
+            i -= 1
         j = i + 1
-        while j < n and (unicodedata.combining(s[j]) or "ᅠ" <= s[j] <= "ᇿ"):
+        while j < n and _joins(s[j]):
             j += 1
-        for c in unicodedata.normalize("NFC", s[i:j].translate(table)).translate(X._FOREIGN):
-            out.append(c)
-            at.append(i)
-        i = j
-    return "".join(out), np.array([*at, n], np.int64)
+        new = unicodedata.normalize("NFC", s[i:j].translate(table)).translate(X._FOREIGN)
+        out += [s[last:i], new]
+        at += [np.arange(last, i), np.full(len(new), i)]
+        last = j
+    out.append(s[last:])
+    at.append(np.arange(last, n + 1))
+    return "".join(out), np.concatenate(at)
+
+
+def _joins(c: str) -> bool:
+    """True for what belongs to the character before it: marks, and the vowels and final consonants of syllables."""
+    return "ᅠ" <= c <= "ᇿ" or unicodedata.combining(c) > 0
 
 
 @functools.cache
@@ -382,13 +140,16 @@ def folded_all(texts: list[str]) -> list[tuple[str, np.ndarray | None]]:
     """``folded`` of each text; only texts with a character that needs it are looked at one by one."""
     a, ends = X.codes(texts)
     out: list[tuple[str, np.ndarray | None]] = [(s, None) for s in texts]
-    for d in np.unique(np.searchsorted(ends, np.flatnonzero(_to_fold()[a]), "right") - 1).tolist():
-        out[d] = folded(texts[d])
+    where = np.flatnonzero(_to_fold()[a])
+    owner = np.searchsorted(ends, where, "right") - 1
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    for d, wanted in zip(owner[first].tolist(), np.split(where, first[1:]), strict=False):
+        out[d] = folded(texts[d], wanted - ends[d])
     return out
 
 
-def checked(s: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
-    """The exact edges of a marked span, or nothing if there is no such form about it."""
+def checked(s: str, kind: str, a: int, b: int, forms) -> tuple[int, int] | None:
+    """The exact edges of a marked span, or nothing if no form of its kind (``forms`` of the whole text) meets it."""
     if kind == "name":
         while m := _TITLES.match(s, a, b):
             a = m.end()
@@ -398,37 +159,48 @@ def checked(s: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
         i, j = m.span()
         if "가" <= s[i] <= "힣" and (s[i] not in SURNAMES or "가" <= s[i - 1 : i] <= "힣" or not _AFTER_NAME.match(s, j)):
             return None
+        if j - i == 2 and not _TITLE_AFTER.match(s, j):  # a surname and one syllable: too many words look so
+            return None
         return i, j
-    lo, hi = max(0, a - 24), min(len(s), b + 24)
     best = None
-    for m in FORMS[kind].finditer(s, lo, hi):
-        both = min(b, m.end()) - max(a, m.start())
+    for x, y in forms(kind):
+        both = min(b, y) - max(a, x)
         if both > 0 and (best is None or both > best[0]):
-            best = (both, m.start(), m.end())
+            best = (both, x, y)
     return best and best[1:]
 
 
-def span_gains(e: np.ndarray, begins: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """For every character, by how much the best span that ends there beats staying outside.
+def covered(e: np.ndarray, begins: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """True for every character that may lie in a span of the best path; all others are outside on it.
 
-    One running maximum a kind: where none is positive, decoding would stay outside as well and can be left out.
+    A span gains over staying outside what its emissions and transitions add. Spans never touch, so the gains of a path
+    add up, and a span that gains less than nothing is on no best path: without it the path would be better. The best
+    span over a character is the best begin up to it and the best end from it on, two running maxima a kind.
     """
-    best = np.full(len(e), -np.inf)
-    out = e[:, 0].astype(np.float64)
-    for k in range(len(KINDS)):
-        b, i = 2 * k + 1, 2 * k + 2
-        start = e[:, b] - out + (a[0, b] - a[0, 0])
-        go_on = np.maximum(e[:, i] - out + (a[i, i] - a[0, 0]), -60)
-        go_on[begins] = -1e3  # no span runs from one text into the next
-        total = np.cumsum(go_on)
-        first = np.maximum.accumulate(start - total + (a[b, i] - a[i, i]))
-        np.maximum(best, start + (a[b, 0] - a[0, 0]), out=best)
-        np.maximum(best[1:], total[1:] + first[:-1] + (a[i, 0] - a[0, 0]), out=best[1:])
-    return best
-
-
-def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: float = 0.0, margin: float = 0.5, reach: int = 80) -> list[list[tuple[str, int, int]]]:
-    """Marked and checked spans of folded texts."""
+    out = np.zeros(len(e), bool)
+    # in parts of whole texts that fit the CPU's cache
+    edges = np.append(begins[np.diff(begins >> 15, prepend=-1) > 0], len(e))
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = begins[np.searchsorted(begins, lo) : np.searchsorted(begins, hi)] - lo
+        t = np.ascontiguousarray(e[lo:hi].T, np.float64)
+        t[1:] -= t[0]
+        for k in range(1, len(t), 2):
+            start = t[k] + (a[0, k] - a[0, 0])
+            go_on = t[k + 1] + (a[k + 1, k + 1] - a[0, 0])
+            np.maximum(go_on, -60, out=go_on)
+            go_on[own] = -1e3  # no span runs from one text into the next
+            total = np.cumsum(go_on)
+            first, end = a[k, k + 1] - a[k + 1, k + 1], a[k + 1, 0] - a[0, 0]
+            # the best sum of a span that is open at a character, begun there or before, and of what may follow it
+            open_at = start + first
+            np.maximum(open_at[1:], total[1:] + np.maximum.accumulate(open_at - total)[:-1], out=open_at[1:])
+            after = np.maximum.accumulate(total[::-1])[::-1] - total + end
+            out[lo:hi] |= np.maximum(open_at + after, start + (a[k, 0] - a[0, 0])) >= 0
+    return out
+
+
+def spans_of(texts: list[str], model: Tagger, bias: float = BIAS, check: bool = True) -> list[list[tuple[str, int, int]]]:
+    """Spans of folded texts as the tagger marks them, with their forms checked unless ``check`` is false."""
     table = alphabet()
     a, ends = X.codes(texts)
     ids = table[a].astype(np.int64)
@@ -448,22 +220,28 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
     begin = np.where(no == 0, 0, OVERLAP // 2)
     end = np.where(starts + lengths >= ends[owner + 1], lengths, lengths - OVERLAP // 2)
     e = np.empty((len(ids), 2 * len(KINDS) + 1), np.float32)
-    for lo in range(0, len(order), 768):
-        w = order[lo : lo + 768]
+    for lo in range(0, len(order), 512):
+        w = order[lo : lo + 512]
         pos = np.minimum(starts[w][None] + np.arange(lengths[w[-1]])[:, None], len(ids) - 1)
         y = np.ascontiguousarray(model.emissions(ids[pos], lengths[w]).transpose(1, 0, 2))
         for i, (at, b, t) in enumerate(zip(starts[w].tolist(), begin[w].tolist(), end[w].tolist(), strict=True)):
             e[at + b : at + t] = y[i, b:t]
-    e[:, 1:-2:2] += np.float32(bias)  # once a span: the forms of these kinds are checked
-    e[:, -2] += np.float32(name_bias)
-    best = span_gains(e, ends[:-1][np.diff(ends) > 0], model.transitions())
+    e[:, 1:-2:2] += np.float32(bias)  # once a span, of the kinds but names
+    inside = covered(e, ends[:-1][size > 0], model.transitions())
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    active = np.flatnonzero(best > -margin)
-    if not len(active):
+    at = np.flatnonzero(inside)
+    if not len(at):
         return out
-    owner = np.searchsorted(ends, active, "right") - 1
-    breaks = np.flatnonzero((np.diff(active) > 2 * reach) | (np.diff(owner) > 0)) + 1
-    parts = [(d, max(ends[d], p[0] - reach), min(ends[d + 1], p[-1] + reach + 1)) for p, d in zip(np.split(active, breaks), owner[np.concatenate([[0], breaks])].tolist(), strict=True)]
+    owner = np.searchsorted(ends, at, "right") - 1
+    breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(owner) > 0)) + 1
+    parts = [(d, p[0], p[-1] + 1) for p, d in zip(np.split(at, breaks), owner[np.concatenate([[0], breaks])].tolist(), strict=True)]
+    known: dict[tuple[int, str], list[tuple[int, int]]] = {}
+
+    def forms(d: int, kind: str) -> list[tuple[int, int]]:
+        if (d, kind) not in known:
+            known[d, kind] = [m.span() for m in FORMS[kind].finditer(texts[d])]
+        return known[d, kind]
+
     for (d, lo, _), tags in zip(parts, model.decode([e[lo:hi] for _, lo, hi in parts]), strict=True):
         s, base, tags = texts[d], int(lo - ends[d]), tags.tolist()
         i = 0
@@ -474,8 +252,10 @@ def spans_of(texts: list[str], model: Tagger, bias: float = 1.5, name_bias: floa
             j, kind = i + 1, (tags[i] - 1) // 2
             while j < len(tags) and tags[j] == 2 * kind + 2:
                 j += 1
-            if got := checked(s, KINDS[kind], base + i, base + j):
-                out[d].append((KINDS[kind], *got))
+            name = KINDS[kind]
+            got = checked(s, name, base + i, base + j, functools.partial(forms, d)) if check else (base + i, base + j)
+            if got:
+                out[d].append((name, *got))
             i = j
     return [sorted(set(x), key=lambda t: (t[1], -t[2])) for x in out]
 

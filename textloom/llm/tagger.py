@@ -1,7 +1,8 @@
 """A character-level bidirectional LSTM with CRF transitions, in numpy: training, emissions and decoding.
 
-Tags are O and, for each kind k, B = 2k + 1 and I = 2k + 2. Every character has its own row of gate inputs, so the
-embedding and the input product are one gather. All gates are computed by one tanh: sigmoid(x) = (1 + tanh(x/2)) / 2.
+Tags are O and, for each kind k, B = 2k + 1 and I = 2k + 2. The cells couple their input to the forget gate,
+c = f c + (1 - f) g and h = o tanh(c). Every character has its own row of gate inputs, so the embedding and the input
+product are one gather. All gates are computed by one tanh: sigmoid(x) = (1 + tanh(x/2)) / 2.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ class Tagger:
         self.hidden = hidden
         p = {}
         for d in "fb":
-            p["x" + d] = r.normal(0, 0.3, (n_chars, 4 * hidden)).astype(f32)
-            p["x" + d][:, hidden : 2 * hidden] += 0.5  # forget gates begin open
-            p["h" + d] = (r.normal(0, 1, (hidden, 4 * hidden)) / np.sqrt(hidden)).astype(f32)
+            p["x" + d] = r.normal(0, 0.3, (n_chars, 3 * hidden)).astype(f32)
+            p["x" + d][:, :hidden] += 0.5  # forget gates begin open
+            p["h" + d] = (r.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(f32)
             p["o" + d] = r.normal(0, 0.3, (hidden, n_tags)).astype(f32)
         p["bias"] = np.zeros(n_tags, f32)
         p["trans"] = np.zeros((n_tags, n_tags), f32)
@@ -29,6 +30,7 @@ class Tagger:
         for i in i_tags:
             self.forbidden[:, i] = True
             self.forbidden[[i - 1, i], i] = False
+        self.forbidden[1:, i_tags - 1] = True  # mentions never touch
 
     def transitions(self) -> np.ndarray:
         return np.where(self.forbidden, f32(-1e4), self.p["trans"])
@@ -38,25 +40,20 @@ class Tagger:
         n, b = ids.shape
         k = self.hidden
         wx, wh = self.p["x" + d].copy(), self.p["h" + d].copy()
-        wx[:, : 3 * k] *= f32(0.5)
-        wh[:, : 3 * k] *= f32(0.5)
+        wx[:, : 2 * k] *= f32(0.5)
+        wh[:, : 2 * k] *= f32(0.5)
         h, c = np.zeros((b, k), f32), np.zeros((b, k), f32)
         out = np.empty((n, b, k), f32)
-        kept = (np.empty((n, b, 4 * k), f32), np.empty((n, b, k), f32), np.empty((n, b, k), f32))
-        z, y = np.empty((b, 4 * k), f32), np.empty((b, 4 * k), f32)
+        kept = (np.empty((n, b, 3 * k), f32), np.empty((n, b, k), f32), np.empty((n, b, k), f32))
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            np.take(wx, ids[t], axis=0, out=z)
-            np.matmul(h, wh, out=y)
-            z += y
-            np.tanh(z, out=z)
-            s = z[:, : 3 * k]
-            s += f32(1)
-            s *= f32(0.5)
+            z = np.tanh(wx[ids[t]] + h @ wh)
+            z[:, : 2 * k] += f32(1)
+            z[:, : 2 * k] *= f32(0.5)
             kept[0][t], kept[1][t] = z, c
-            c = c * z[:, k : 2 * k]
-            c += z[:, :k] * z[:, 3 * k :]
+            g = z[:, 2 * k :]
+            c = g + z[:, :k] * (c - g)
             tc = np.tanh(c)
-            h = z[:, 2 * k : 3 * k] * tc
+            h = z[:, k : 2 * k] * tc
             kept[2][t] = tc
             out[t] = h
         return out, kept
@@ -69,27 +66,30 @@ class Tagger:
         n, b = ids.shape
         k = self.hidden
         wx, wh = self.p["x" + d].copy(), self.p["h" + d].copy()
-        wx[:, : 3 * k] *= f32(0.5)
-        wh[:, : 3 * k] *= f32(0.5)
+        wx[:, : 2 * k] *= f32(0.5)
+        wh[:, : 2 * k] *= f32(0.5)
         wh *= f32(0.5)  # the states come doubled
         h, c = np.zeros((b, k), f32), np.zeros((b, k), f32)
         out = np.zeros((n, b, k), f32)
-        zs, ys = np.empty((b, 4 * k), f32), np.empty((b, 4 * k), f32)
+        zs, ys, ss = np.empty((b, 3 * k), f32), np.empty((b, 3 * k), f32), np.empty((b, k), f32)
+        first = np.searchsorted(lengths, np.arange(n), "right").tolist()
         for t in range(n) if d == "f" else range(n - 1, -1, -1):
-            on = int(np.searchsorted(lengths, t, "right"))
-            z, y, cc = zs[on:], ys[on:], c[on:]
-            np.take(wx, ids[t, on:], axis=0, out=z)
-            np.matmul(h[on:], wh, out=y)
+            on = first[t]
+            z, y, s, cc, hh = zs[on:], ys[on:], ss[on:], c[on:], h[on:]
+            np.take(wx, ids[t, on:], axis=0, out=z, mode="clip")
+            np.matmul(hh, wh, out=y)
             z += y
             np.tanh(z, out=z)
-            s = z[:, : 3 * k]
-            s += f32(1)
-            cc *= z[:, k : 2 * k]
-            cc += z[:, :k] * z[:, 3 * k :]
+            g = z[:, 2 * k :]
+            cc -= g
+            np.multiply(cc, z[:, :k], out=s)
+            cc += s
             cc *= f32(0.5)
-            np.tanh(cc, out=y[:, :k])
-            np.multiply(z[:, 2 * k : 3 * k], y[:, :k], out=h[on:])
-            out[t, on:] = h[on:]
+            cc += g
+            np.tanh(cc, out=s)
+            np.multiply(s, z[:, k : 2 * k], out=hh)
+            hh += s
+            out[t, on:] = hh
         return out
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -142,19 +142,18 @@ class Tagger:
             g["o" + d] = out.reshape(n * b, k).T @ flat
             into = (flat @ self.p["o" + d].T).reshape(n, b, k)
             wh = self.p["h" + d]
-            dz = np.empty((n, b, 4 * k), f32)
+            dz = np.empty((n, b, 3 * k), f32)
             dh, dc = np.zeros((b, k), f32), np.zeros((b, k), f32)
             order = range(n - 1, -1, -1) if d == "f" else range(n)
             for t in order:
-                i, f, o, c = (gates[t][:, q * k : (q + 1) * k] for q in range(4))
+                f, o, c = (gates[t][:, q * k : (q + 1) * k] for q in range(3))
                 dh = dh + into[t]
                 tc = tanh_c[t]
                 dc = dc + dh * o * (1 - tc * tc)
                 z = dz[t]
-                z[:, :k] = dc * c * i * (1 - i)
-                z[:, k : 2 * k] = dc * before[t] * f * (1 - f)
-                z[:, 2 * k : 3 * k] = dh * tc * o * (1 - o)
-                z[:, 3 * k :] = dc * i * (1 - c * c)
+                z[:, :k] = dc * (before[t] - c) * f * (1 - f)
+                z[:, k : 2 * k] = dh * tc * o * (1 - o)
+                z[:, 2 * k :] = dc * (1 - f) * (1 - c * c)
                 dh = z @ wh.T
                 dc = dc * f
             prev = np.zeros_like(out)
@@ -189,19 +188,19 @@ class Tagger:
         return losses
 
     def decode(self, stretches: list[np.ndarray], block: int = 256) -> list[np.ndarray]:
-        """The best tags of stretches of emissions (steps, tags), each beginning and ending outside any span."""
+        """The best tags of stretches of emissions (steps, tags), each with one character outside before and after it."""
         a = self.transitions()
         k = len(a)
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(stretches)
         order = sorted(range(len(stretches)), key=lambda i: len(stretches[i]))
         for lo in range(0, len(order), block):
             mine = order[lo : lo + block]
-            n = len(stretches[mine[-1]])
-            e = np.full((n, len(mine), k), -1e4, f32)  # beyond its end a stretch stays outside
+            n = len(stretches[mine[-1]]) + 2
+            e = np.full((n, len(mine), k), -1e4, f32)  # before its begin and beyond its end a stretch is outside
             e[:, :, 0] = 0
             for j, i in enumerate(mine):
-                e[: len(stretches[i]), j] = stretches[i]
-            score = np.where((np.arange(k) % 2 == 0) & (np.arange(k) > 0), f32(-1e4), e[0])
+                e[1 : len(stretches[i]) + 1, j] = stretches[i]
+            score = e[0]
             back = np.empty((n, len(mine), k), np.int8)
             for t in range(1, n):
                 m = score[:, :, None] + a[None]
@@ -213,5 +212,5 @@ class Tagger:
                 tags[t] = tag
                 tag = back[t, rows, tag] if t else tag
             for j, i in enumerate(mine):
-                out[i] = tags[: len(stretches[i]), j]
+                out[i] = tags[1 : len(stretches[i]) + 1, j]
         return out
