@@ -24,6 +24,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("a").alias("element_id_a"), F.col("b").alias("element_id_b"))
 
 
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """One row an element: its class of equal texts and the number of other classes nearly the same."""
+    return near_duplicates.near_duplicate_records(table(spark, sf, "elements"), "element_id", "text", ("title", "contract_scope", "text")).withColumnRenamed("key", "element_id")
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     e = look_alikes.look_alike_pairs(table(spark, sf, "elements"), "element_id", ["text"])
     d = look_alikes.look_alike_pairs(table(spark, sf, "doc_facts"), "doc_id", ["rel_path", "filename"])

@@ -1,14 +1,16 @@
 """Problem 4: the same or nearly the same records across splits, by similarity-hash bit fingerprints.
 
-A question's fingerprint is a similarity hash of its 3-character substrings: 384 lanes of 32 bits, each lane equal
-in two questions with a probability that is their likeness. It is cut into 64 blocks of six lanes; blocks are joined
-across the splits, which finds a likeness of 0.7 with 99.97 %, of 0.8 but for 4 in 10^9. Pairs met must be within the
-Hamming radius on a 64-bit code of the same lanes; the exact likeness of the texts decides.
+A question's fingerprint is a similarity hash of its 3-character substrings: 240 lanes of 8 bits, each lane equal in
+two questions with a probability of at least their likeness. The fingerprint is cut into 48 blocks of 40 bits; blocks
+are joined across the splits. Pairs that meet in a block must lie within the Hamming ``RADIUS`` on the fingerprint's
+lowest bit plane (64 bits of it); the exact likeness of the texts decides. A likeness of 0.7 is met with 99.99 % by
+the blocks, one of 0.75 or more always but for 2 in 10^6.
 
 Equal questions form one class before blocks are made, so a question that a third of the records ask meets the
-other split once. Gold lists that share ``shared`` ids are found by prefixes: ids are ordered from rare to common,
-and two sets of sizes m, n that share s ids share one of the first m - s + 1 and n - s + 1; an id that a third of
-the records hold is in a prefix only where the set has nothing rarer.
+other split once; a block held by a large part of all questions is split over tasks (``plans/skew``). Gold lists that
+share ``shared`` ids are found by prefixes: equal lists form one class, ids are ordered from rare to common, and two
+sets of sizes m, n that share s ids share one of the first m - s + 1 and n - s + 1; an id common to many lists is
+split like a block.
 
 Nulls: records without a qid are left out; null questions, lists and members match nothing. Repeated rows count
 once. Empty tables give no rows.
@@ -25,43 +27,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import text as X
+from textloom.plans.lineage import cut
+from textloom.plans.skew import LIMIT, hot_buckets, join_blocks
 
-BLOCKS, LANES = 64, 6
-#: Bytes of a block's key, and so of what is moved for each text and block.
-KEY_BYTES = 5
+BLOCKS, LANES = 48, 5
 #: Expected differences of 64 bits at likeness 0.7: 9.6, deviation 2.9.
 RADIUS = 22
 
 
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [X.plain_form(s) for s in b.column(0).to_pylist()]
+        q, l, r = (c.to_pylist() for c in b.columns)
+        texts = [X.plain_form(s) for s in q]
         ids = [int.from_bytes(X.digest(t)[:6], "big") for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(ids, pa.int64())], ["q", "plain", "id"])
+        h = X.min_hashes(texts, BLOCKS * LANES)
+        code = X.symbols(h, 8)
+        columns = [(q, pa.string()), (l, pa.bool_()), (r, pa.bool_()), (texts, pa.string()), (ids, pa.int64()), (X.bit_code(h), pa.int64()), ([x.tobytes() for x in code], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["q", "left", "right", "plain", "id", "plane", "code"])
 
 
-def plain_questions(questions: DataFrame) -> DataFrame:
-    """``q, plain, id`` of each different question with three plain characters or more; ``id``: 48 bits of a digest.
+def fingerprints(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``q, left, right, plain, id, plane, code`` of each different question of either side, computed once.
 
-    Plain forms that share an id cost a needless check: ids only bring candidates together.
+    ``id``: 48 bits of a digest of the plain form; plain forms that share one cost a needless check.
     """
-    p = questions.where("q is not null").select("q").distinct().mapInArrow(_plain, "q string, plain string, id long")
-    return p.where("char_length(plain) >= 3")
-
-
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h = X.min_hashes(b.column(1).to_pylist(), BLOCKS * LANES)
-        keys = X.block_keys(h, LANES).view(np.uint8).reshape(b.num_rows, BLOCKS, 8)[:, :, :KEY_BYTES]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(X.bit_code(h)), pa.array([x.tobytes() for x in keys], pa.binary())], ["id", "code", "blocks"])
+    sides = left.select("q", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("q", F.lit(False).alias("l"), F.lit(True).alias("r")))
+    one = sides.where("q is not null").groupBy("q").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    made = one.mapInArrow(_prints, "q string, left boolean, right boolean, plain string, id long, plane long, code binary")
+    return cut(made.where("char_length(plain) >= 3"))
 
 
-def fingerprints(plain: DataFrame) -> DataFrame:
-    """``id, code, block``: a row for every block of each different plain form."""
-    p = plain.select("id", "plain").distinct().mapInArrow(_prints, "id long, code long, blocks binary")
-    p = p.select("id", "code", "blocks", F.explode(F.expr(f"sequence(0, {BLOCKS - 1})")).alias("no"))
-    key = F.conv(F.hex(F.substring("blocks", F.col("no") * KEY_BYTES + 1, F.lit(KEY_BYTES))), 16, 10).cast("long")
-    return p.select("id", "code", (key + F.shiftleft(F.col("no").cast("long"), 8 * KEY_BYTES)).alias("block"))
+def blocks(prints: DataFrame) -> DataFrame:
+    """``id, plane, block``: a row for every block of 40 bits of a fingerprint, the block's number in front."""
+    rows = prints.select("id", "plane", "code", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("no"))
+    bits = F.conv(F.hex(F.substring("code", F.col("no") * LANES + 1, F.lit(LANES))), 16, 10).cast("long")
+    return rows.select("id", "plane", (bits + F.shiftleft(F.col("no").cast("long"), 8 * LANES)).alias("block"))
 
 
 def _verify(least: float):
@@ -73,31 +73,36 @@ def _verify(least: float):
     return run
 
 
-def alike_texts(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
+def alike_texts(left: DataFrame, right: DataFrame, least: float = 0.7, limit: int = LIMIT) -> DataFrame:
     """``qa, qb``: texts of column ``q`` of either side whose likeness is ``least`` or more."""
-    l, r = plain_questions(left), plain_questions(right)
-    a, b = fingerprints(l).toDF("qa", "ca", "block"), fingerprints(r).toDF("qb", "cb", "block")
-    # sizes are estimated before blocks are made, so a broadcast must not be chosen here
-    met = a.hint("merge").join(b.hint("merge"), "block").where(F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= RADIUS).select("qa", "qb").distinct()
+    prints = fingerprints(left, right)
+    l, r = prints.where("left"), prints.where("right")
+    within = F.bit_count(F.col("a.plane").bitwiseXOR(F.col("b.plane"))) <= RADIUS
+    hot = hot_buckets(blocks(prints).select("block"), "block", limit)
+    one = lambda d: blocks(d.groupBy("id").agg(F.min(F.struct("plane", "code")).alias("s")).select("id", "s.*"))
+    met = join_blocks(one(l), one(r), "block", "id", hot, within).select(F.col("a.id").alias("qa"), F.col("b.id").alias("qb")).distinct()
     named = met.join(l.select(F.col("id").alias("qa"), F.col("plain").alias("pa")).distinct(), "qa").join(r.select(F.col("id").alias("qb"), F.col("plain").alias("pb")).distinct(), "qb")
     alike = named.mapInPandas(_verify(least), "qa long, qb long").distinct()
     x = alike.join(l.select(F.col("id").alias("qa"), F.col("q").alias("ta")), "qa").join(r.select(F.col("id").alias("qb"), F.col("q").alias("tb")), "qb")
     return x.select(F.col("ta").alias("qa"), F.col("tb").alias("qb"))
 
 
-def sharing_sets(left: DataFrame, right: DataFrame, shared: int = 3) -> DataFrame:
+def sharing_sets(left: DataFrame, right: DataFrame, shared: int = 3, limit: int = LIMIT) -> DataFrame:
     """``ka, kb`` of sets (columns ``k, ids``) that have ``shared`` different ids in common."""
-    clean = lambda d: d.select("k", F.array_compact(F.array_distinct("ids")).alias("ids")).where(F.size("ids") >= shared)
+    clean = lambda d: d.select("k", F.array_sort(F.array_compact(F.array_distinct("ids"))).alias("ids")).where(F.size("ids") >= shared)
     l, r = clean(left), clean(right)
-    members = lambda d, side: d.select(F.lit(side).alias("side"), "k", F.explode("ids").alias("id"))
-    all_ids = members(l, "a").unionByName(members(r, "b"))
-    freq = all_ids.groupBy("id").count()
-    ranked = all_ids.join(freq, "id").groupBy("side", "k").agg(F.array_sort(F.collect_list(F.struct("count", "id"))).alias("o"))  # a set is one record's list
-    ranked = ranked.select("side", "k", F.transform("o", lambda x: x["id"]).alias("ids"))
-    prefix = ranked.select("side", "k", "ids", F.explode(F.slice("ids", 1, F.size("ids") - shared + 1)).alias("id"))
-    a = prefix.where("side = 'a'").select("id", F.col("k").alias("ka"), F.col("ids").alias("ia"))
-    b = prefix.where("side = 'b'").select("id", F.col("k").alias("kb"), F.col("ids").alias("ib"))
-    return a.join(b, "id").where(F.size(F.array_intersect("ia", "ib")) >= shared).select("ka", "kb").distinct()
+    sets = l.select("ids").distinct().select(F.lit("a").alias("side"), "ids").unionByName(r.select("ids").distinct().select(F.lit("b").alias("side"), "ids"))
+    sets = sets.select("side", "ids", F.xxhash64("ids").alias("no"))
+    members = sets.select("side", "no", F.explode("ids").alias("id"))
+    freq = members.groupBy("id").count()
+    ranked = members.join(freq, "id").groupBy("side", "no").agg(F.array_sort(F.collect_list(F.struct("count", "id"))).alias("o"))  # a set is one record's list
+    ranked = ranked.select("side", "no", F.array_distinct(F.transform("o", lambda x: x["id"])).alias("ids"))
+    prefix = ranked.select("side", "no", "ids", F.explode(F.slice("ids", 1, F.size("ids") - shared + 1)).alias("id"))
+    hot = hot_buckets(l.select(F.explode("ids").alias("id")).unionByName(r.select(F.explode("ids").alias("id"))), "id", limit)
+    many = F.size(F.array_intersect("a.ids", "b.ids")) >= shared
+    met = join_blocks(prefix.where("side = 'a'"), prefix.where("side = 'b'"), "id", "no", hot, many).select(F.col("a.no").alias("na"), F.col("b.no").alias("nb")).distinct()
+    x = met.join(l.select(F.col("k").alias("ka"), F.col("ids").alias("ia"), F.xxhash64("ids").alias("na")), "na").join(r.select(F.col("k").alias("kb"), F.col("ids").alias("ib"), F.xxhash64("ids").alias("nb")), "nb")
+    return x.where(F.size(F.array_intersect("ia", "ib")) >= shared).select("ka", "kb").distinct()
 
 
 def _pair(split: str, source: str, a: str, b: str) -> list[Column]:

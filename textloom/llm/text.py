@@ -139,9 +139,9 @@ def likeness(a: Iterable[str], b: Iterable[str]) -> float:
 
 
 @functools.cache
-def _lanes(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.Generator(np.random.PCG64(seed))
-    return r.integers(0, 2**32, n, np.uint32) | np.uint32(1), r.integers(0, 2**32, n, np.uint32)
+def _lanes(n: int, seed: int) -> np.ndarray:
+    """Odd factors: a product with one permutes the 32-bit hashes, which are mixed already."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 2**32, n, np.uint32) | np.uint32(1)
 
 
 def min_hashes(texts: Sequence[str], lanes: int, n: int = 3, seed: int = 7) -> np.ndarray:
@@ -151,7 +151,7 @@ def min_hashes(texts: Sequence[str], lanes: int, n: int = 3, seed: int = 7) -> n
     full = np.flatnonzero(np.diff(starts) > 0)
     if not len(full):
         return out
-    a, b = _lanes(lanes, seed)
+    a = _lanes(lanes, seed)
     at = starts[full]
     # blocks of texts, so that a lane's hashes stay in the CPU's cache
     block = np.searchsorted(starts, np.arange(0, starts[-1], 1 << 15), "right") - 1
@@ -162,11 +162,7 @@ def min_hashes(texts: Sequence[str], lanes: int, n: int = 3, seed: int = 7) -> n
         s, e = at[lo], starts[full[hi - 1] + 1]
         part, begin = g[s:e], at[lo:hi] - s
         for k in range(lanes):
-            x = part * a[k]
-            x += b[k]
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            out[full[lo:hi], k] = np.minimum.reduceat(x, begin)
+            out[full[lo:hi], k] = np.minimum.reduceat(part * a[k], begin)
     return out
 
 
@@ -181,7 +177,11 @@ def block_keys(h: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def symbols(h: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of every lane: equal where the lanes are, else by chance of 1 in 2 ** bits."""
+    return ((h >> np.uint32(9)) & np.uint32((1 << bits) - 1)).astype(np.uint8)
+
+
 def bit_code(h: np.ndarray) -> np.ndarray:
     """64 bits, one of each of the first 64 lanes; two texts differ in a bit with half the probability 1 - likeness."""
-    bits = ((h[:, :64] >> np.uint32(9)) & np.uint32(1)).astype(np.uint64)
-    return (bits << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+    return (symbols(h[:, :64], 1).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
