@@ -3,7 +3,7 @@
 A question's fingerprint is a similarity hash of its 3-character substrings: 240 lanes of 8 bits, each lane equal in
 two questions with a probability of at least their likeness. The fingerprint is cut into 48 blocks of 40 bits; blocks
 are joined across the splits. Pairs that meet in a block must lie within the Hamming ``RADIUS`` on the fingerprint's
-lowest bit plane (64 bits of it); the exact likeness of the texts decides. A likeness of 0.7 is met with 99.99 % by
+lowest bit plane (128 bits of it); the exact likeness of the texts decides. A likeness of 0.7 is met with 99.99 % by
 the blocks, one of 0.75 or more always but for 2 in 10^6.
 
 Equal questions form one class before blocks are made, so a question that a third of the records ask meets the
@@ -31,8 +31,8 @@ from textloom.plans.lineage import cut
 from textloom.plans.skew import LIMIT, hot_buckets, join_blocks
 
 BLOCKS, LANES = 48, 5
-#: Expected differences of 64 bits at likeness 0.7: 9.6, deviation 2.9.
-RADIUS = 22
+#: Expected differences of 128 bits at likeness 0.7: 19.2, deviation 4.0.
+RADIUS = 33
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,26 +42,31 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = [int.from_bytes(X.digest(t)[:6], "big") for t in texts]
         h = X.min_hashes(texts, BLOCKS * LANES)
         code = X.symbols(h, 8)
-        columns = [(q, pa.string()), (l, pa.bool_()), (r, pa.bool_()), (texts, pa.string()), (ids, pa.int64()), (X.bit_code(h), pa.int64()), ([x.tobytes() for x in code], pa.binary())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["q", "left", "right", "plain", "id", "plane", "code"])
+        columns = [(q, pa.string()), (l, pa.bool_()), (r, pa.bool_()), (texts, pa.string()), (ids, pa.int64()), *((x, pa.int64()) for x in X.bit_planes(h)), ([x.tobytes() for x in code], pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["q", "left", "right", "plain", "id", "plane0", "plane1", "code"])
 
 
 def fingerprints(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``q, left, right, plain, id, plane, code`` of each different question of either side, computed once.
+    """``q, left, right, plain, id, plane0, plane1, code`` of each different question of either side, computed once.
 
     ``id``: 48 bits of a digest of the plain form; plain forms that share one cost a needless check.
     """
     sides = left.select("q", F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select("q", F.lit(False).alias("l"), F.lit(True).alias("r")))
     one = sides.where("q is not null").groupBy("q").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    made = one.mapInArrow(_prints, "q string, left boolean, right boolean, plain string, id long, plane long, code binary")
+    made = one.mapInArrow(_prints, "q string, left boolean, right boolean, plain string, id long, plane0 long, plane1 long, code binary")
     return cut(made.where("char_length(plain) >= 3"))
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        code = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, BLOCKS * LANES)
+        own = [pa.array(np.repeat(b.column(i).to_numpy(), BLOCKS)) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(X.segment_numbers(code, LANES).ravel())], ["id", "plane0", "plane1", "block"])
+
+
 def blocks(prints: DataFrame) -> DataFrame:
-    """``id, plane, block``: a row for every block of 40 bits of a fingerprint, the block's number in front."""
-    rows = prints.select("id", "plane", "code", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("no"))
-    bits = F.conv(F.hex(F.substring("code", F.col("no") * LANES + 1, F.lit(LANES))), 16, 10).cast("long")
-    return rows.select("id", "plane", (bits + F.shiftleft(F.col("no").cast("long"), 8 * LANES)).alias("block"))
+    """``id, plane0, plane1, block``: a row for every block of 40 bits of a fingerprint, the block's number in front."""
+    return prints.select("id", "plane0", "plane1", "code").mapInArrow(_blocks, "id long, plane0 long, plane1 long, block long")
 
 
 def _verify(least: float):
@@ -77,9 +82,9 @@ def alike_texts(left: DataFrame, right: DataFrame, least: float = 0.7, limit: in
     """``qa, qb``: texts of column ``q`` of either side whose likeness is ``least`` or more."""
     prints = fingerprints(left, right)
     l, r = prints.where("left"), prints.where("right")
-    within = F.bit_count(F.col("a.plane").bitwiseXOR(F.col("b.plane"))) <= RADIUS
+    within = F.bit_count(F.col("a.plane0").bitwiseXOR(F.col("b.plane0"))) + F.bit_count(F.col("a.plane1").bitwiseXOR(F.col("b.plane1"))) <= RADIUS
     hot = hot_buckets(blocks(prints).select("block"), "block", limit)
-    one = lambda d: blocks(d.groupBy("id").agg(F.min(F.struct("plane", "code")).alias("s")).select("id", "s.*"))
+    one = lambda d: blocks(d.groupBy("id").agg(F.min(F.struct("plane0", "plane1", "code")).alias("s")).select("id", "s.*"))
     met = join_blocks(one(l), one(r), "block", "id", hot, within).select(F.col("a.id").alias("qa"), F.col("b.id").alias("qb")).distinct()
     named = met.join(l.select(F.col("id").alias("qa"), F.col("plain").alias("pa")).distinct(), "qa").join(r.select(F.col("id").alias("qb"), F.col("plain").alias("pb")).distinct(), "qb")
     alike = named.mapInPandas(_verify(least), "qa long, qb long").distinct()

@@ -166,22 +166,23 @@ def min_hashes(texts: Sequence[str], lanes: int, n: int = 3, seed: int = 7) -> n
     return out
 
 
-def block_keys(h: np.ndarray, rows: int) -> np.ndarray:
-    """A 64-bit key of every block of ``rows`` lanes; the block's number goes into the key."""
-    n, lanes = h.shape
-    k = h.reshape(n, lanes // rows, rows).astype(np.uint64)
-    key = np.broadcast_to(np.arange(1, lanes // rows + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93), k.shape[:2]).copy()
-    for j in range(rows):
-        key = (key ^ k[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return key.view(np.int64)
-
-
 def symbols(h: np.ndarray, bits: int) -> np.ndarray:
     """``bits`` bits of every lane: equal where the lanes are, else by chance of 1 in 2 ** bits."""
     return ((h >> np.uint32(9)) & np.uint32((1 << bits) - 1)).astype(np.uint8)
 
 
-def bit_code(h: np.ndarray) -> np.ndarray:
-    """64 bits, one of each of the first 64 lanes; two texts differ in a bit with half the probability 1 - likeness."""
-    return (symbols(h[:, :64], 1).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+def bit_planes(h: np.ndarray) -> list[np.ndarray]:
+    """The lowest bit of the symbols of the first 128 lanes, in two numbers; two texts differ in a bit with half the
+    probability 1 - likeness."""
+    bits = symbols(h[:, :128], 1).astype(np.uint64)
+    return [(bits[:, i : i + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64) for i in (0, 64)]
+
+
+def segment_numbers(code: np.ndarray, width: int) -> np.ndarray:
+    """Each run of ``width`` bytes of the codes as a number, with the run's place in front."""
+    n = code.shape[0]
+    parts = code.reshape(n, -1, width)
+    out = np.arange(parts.shape[1], dtype=np.int64)[None].repeat(n, 0)
+    for k in range(width):
+        out = (out << 8) | parts[:, :, k]
+    return out
