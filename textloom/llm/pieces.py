@@ -1,121 +1,149 @@
 """Problem 3: cutting oversized texts at natural boundaries, by byte ranges.
 
-Cuts need no running state: with a core size S, cut k is the best boundary (paragraph, line, sentence, word; the
-latest of the best kind) in the window of S/3 characters that ends at k * 2S/3, or the window's end where it has
-none. Two neighbouring cuts are then at most S apart, so a piece with its overlap stays within S + overlap, and
-windows of one text can be decided on different machines.
-
-Texts up to ``range_bytes`` are cut where they are read. Longer ones, and files, are taken in byte ranges with a
-halo: workers count characters and list the boundaries of their range, a prefix sum over the counts gives global
-offsets, each window takes the maximum over its boundaries, and every range emits its part of each piece by offset.
-No task holds a whole long text. Both ways give the same pieces, but where a run of white space is longer than the
-halo, whose kind may then be read as a lower one.
-
-Nulls: rows with a null id, text or size are left out, a null overlap is 0. Empty texts and texts of at most
-size + overlap characters have no pieces. A repeated id is cut once (its smallest text, if they differ).
-Offsets count Unicode code points from the start of the text.
+Every text, short or long, from a column or from a file, is taken in ranges of its bytes with halos on both sides.
+Workers count the characters of their range and find its boundaries; what kind a boundary has depends on the 16
+characters before it and the one after, so every worker that sees a position agrees on it. The last cut of a range, its
+anchor, is the best boundary in the last half piece before the range's end; the halo lets the next range find the same
+anchor. From anchor to anchor a range is cut greedily: the next cut is the latest boundary of the best kind (paragraph,
+line, sentence, word) within the size limit, or the limit where there is none. A prefix sum over the ranges' counts
+turns local offsets and numbers into global ones, and every range emits its own pieces with the overlap before them.
+No range reads more than its halos beyond itself, and nothing is carried from range to range but two counts.
+
+Pieces have at most size characters and the overlap, exactly ``overlap`` characters but at the text's start. Nulls: rows
+with a null id, text or size are left out, a null overlap is 0. Empty texts and texts of at most size + overlap
+characters have no pieces. A repeated id is cut once (its smallest text, if they differ). Offsets count code points.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-RANGE_BYTES = 1 << 20
-#: Bytes read on either side of a range: enough for the longest delimiter that can be split.
-HALO = 64
-PIECE = "id string, piece_no int, char_start long, char_end long, core_start long, text string"
-
-# A boundary lies after the delimiter; the kinds are listed from worst to best.
-_WORD = re.compile(r"\s+")
-_SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？]")
-_LINE = re.compile(r"\r\n|\n|\r")
-_PARAGRAPH = re.compile(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)[\s]*")
-KINDS = (_WORD, _SENTENCE, _LINE, _PARAGRAPH)
-
-
-def boundaries(s: str) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets at which ``s`` may be cut, ascending, and the best kind (1 to 4) of each."""
-    best: dict[int, int] = {}
-    for kind, pattern in enumerate(KINDS, 1):
-        for m in pattern.finditer(s):
-            best[m.end()] = kind
-    at = np.array(sorted(best), np.int64)
-    return at, np.array([best[i] for i in at.tolist()], np.int64)
-
-
-def steps(size: int) -> tuple[int, int]:
-    """The distance of the windows' ends, and the windows' width."""
-    slack = max(1, size // 3) if size > 1 else 0
-    return size - slack, slack
-
+RANGE_BYTES = 1 << 14
+#: Characters before a boundary that decide its kind; of a longer run of white space only the end counts.
+CONTEXT = 16
+RANGE = "id string, size int, overlap int, range_no int, last boolean, data binary, skip int, width int"
+PIECE = "id string, piece_no long, char_start long, char_end long, core_start long, text string"
+WORD, SENTENCE, LINE, PARAGRAPH = 1, 2, 3, 4
+
+_SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_STOPS = np.array([*map(ord, ".!?…。！？")], np.uint32)
+_WIDE_STOPS = np.array([*map(ord, "。！？")], np.uint32)
+_CLOSERS = np.array([*map(ord, "\"'”’)]」』")], np.uint32)
+
+
+def boundaries(s: str) -> np.ndarray:
+    """For every offset 0..len(s) the kind of boundary there is between its two characters, 0 for none."""
+    a = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(a)
+    kind = np.zeros(n + 1, np.int8)
+    if n < 2:
+        return kind
+    space = np.isin(a, _SPACES)
+    stop, closer = np.isin(a, _STOPS), np.isin(a, _CLOSERS)
+    wide = np.isin(a, _WIDE_STOPS)
+    newline = np.isin(a, np.array([10, 11, 12, 0x85, 0x2028, 0x2029], np.uint32))
+    newline |= (a == 13) & np.append(a[1:] != 10, True)
+    kind[1:n][wide[:-1] & ~stop[1:] & ~closer[1:] & ~space[1:]] = SENTENCE
+    at = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    if len(at):
+        lines = np.concatenate([[0], np.cumsum(newline)])
+        solid = np.maximum.accumulate(np.where(space, -1, np.arange(n)))[at - 1]  # the last character that is no blank
+        begin = np.maximum(solid + 1, at - CONTEXT)
+        n_lines = lines[at] - lines[begin]
+        near = (solid >= 0) & (solid >= at - CONTEXT)
+        before = np.maximum(solid, 0)
+        ends = near & (stop[before] | (closer[before] & stop[np.maximum(before - 1, 0)] & (before > 0)))
+        kind[at] = np.where(n_lines > 1, PARAGRAPH, np.where(n_lines == 1, LINE, np.where(ends, SENTENCE, WORD)))
+    return kind
+
+
+def best_cut(kind: np.ndarray, lo: int, hi: int) -> int:
+    """The latest offset of the best kind in lo < offset <= hi; ``hi`` if there is no boundary."""
+    part = kind[lo + 1 : hi + 1][::-1]
+    i = int(part.argmax()) if len(part) else 0
+    return hi - i
+
+
+def cuts(kind: np.ndarray, start: int, end: int, size: int) -> list[int]:
+    """The cuts strictly between ``start`` and ``end``."""
+    out, at = [], start
+    while end - at > size:
+        at = best_cut(kind, at, at + size)
+        out.append(at)
+    return out
 
-def n_cuts(length: int, size: int) -> int:
-    step, slack = steps(size)
-    return max(0, -(-(length - size + slack) // step))
 
+def oversized(df: DataFrame, id_col: str, text_col: str, size: Column, overlap: Column) -> DataFrame:
+    """``id, text, size, overlap`` of the texts over their limit, once an id."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), size.cast("int").alias("size"), F.coalesce(overlap.cast("int"), F.lit(0)).alias("overlap"))
+    rows = rows.where("id is not null and text is not null and size > 0 and char_length(text) > size + overlap")
+    return rows.groupBy("id").agg(F.min(F.struct("text", "size", "overlap")).alias("x")).select("id", "x.*")
 
-def cuts(s: str, size: int) -> list[int]:
-    """All cuts of one text."""
-    step, slack = steps(size)
-    at, kind = boundaries(s)
-    out = []
-    for k in range(1, n_cuts(len(s), size) + 1):
-        lo, hi = np.searchsorted(at, [k * step - slack, k * step], "right")
-        out.append(int(at[lo:hi][::-1][kind[lo:hi][::-1].argmax()]) if hi > lo else k * step)
-    return out
 
+def halo(size: int, overlap: int) -> int:
+    """Bytes that a range must see on either side: half a piece, the overlap and the context, of four bytes each."""
+    return 4 * (size + overlap + CONTEXT + 2)
 
-def spans(cut: list[int], length: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Start, end and core start of each piece."""
-    edges = [0, *cut, length]
-    return [(max(0, a - overlap) if a else 0, b, a) for a, b in zip(edges, edges[1:], strict=False)]
 
+def range_width(size: int, overlap: int, range_bytes: int) -> int:
+    """Bytes of a range: wide enough that its anchor lies behind the one before it, whatever the characters."""
+    return max(range_bytes, 4 * halo(size, overlap))
 
-def _cut_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        rows = []
-        for i, s, size, overlap in zip(p.id, p.text, p["size"], p.overlap, strict=True):
-            rows += [(i, n, a, b, core, s[a:b]) for n, (a, b, core) in enumerate(spans(cuts(s, int(size)), len(s), int(overlap)))]
-        yield pd.DataFrame(rows, columns=["id", "piece_no", "char_start", "char_end", "core_start", "text"])
 
+def byte_ranges(rows: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The ranges of texts given as ``id, text, size, overlap``; each byte is sent once and with the halos of others."""
+    names = [c.split()[0] for c in RANGE.split(", ")]
 
-def oversized(df: DataFrame, id_col: str, text_col: str, size: Column, overlap: Column) -> DataFrame:
-    """``id, text, size, overlap`` of the texts over their limit, once an id."""
-    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), size.cast("int").alias("size"), F.coalesce(overlap.cast("int"), F.lit(0)).alias("overlap"))
-    rows = rows.where("id is not null and text is not null and size > 0 and char_length(text) > size + overlap")
-    return rows.groupBy("id").agg(F.min(F.struct("text", "size", "overlap")).alias("x")).select("id", "x.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.int32()]
+        out, held = [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        for b in batches:
+            for i, s, size, overlap in zip(*(b.column(c).to_pylist() for c in ("id", "text", "size", "overlap")), strict=True):
+                data = s.encode("utf-8", "surrogatepass")
+                h, width = halo(size, overlap), range_width(size, overlap, range_bytes)
+                for no in range(-(-len(data) // width)):
+                    start = max(0, no * width - h)
+                    part = data[start : (no + 1) * width + h]
+                    out.append((i, size, overlap, no, (no + 1) * width >= len(data), part, no * width - start, width))
+                    held += len(part)
+                    if held > 1 << 22:
+                        yield pack()
+                        out, held = [], 0
+        if out:
+            yield pack()
 
+    return rows.select("id", "text", "size", "overlap").mapInArrow(run, RANGE)
 
-def byte_ranges(rows: DataFrame, range_bytes: int) -> DataFrame:
-    """``id, size, overlap, range_no, data, skip``: ranges of the text's bytes with halos; ``skip`` bytes come before."""
-    b = rows.withColumn("bytes", F.encode("text", "UTF-8")).drop("text").withColumn("n", F.octet_length("bytes"))
-    b = b.withColumn("range_no", F.explode(F.expr(f"sequence(0, cast((n - 1) div {range_bytes} as int))")))
-    start = F.greatest(F.col("range_no") * range_bytes - HALO, F.lit(0)).cast("int")
-    data = F.substring("bytes", start + 1, F.lit(range_bytes + 2 * HALO) - F.when(F.col("range_no") == 0, HALO).otherwise(0))
-    return b.select("id", "size", "overlap", "range_no", data.alias("data"), (F.col("range_no") * range_bytes - start).cast("int").alias("skip"), F.lit(range_bytes).alias("width"))
 
+def file_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = 1 << 22) -> DataFrame:
+    """The ranges of files, ``id, path, n_bytes, size, overlap``, each read by offset on its own.
 
-def file_ranges(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The same for ``id, path, n_bytes, size, overlap``: files on a file system that all workers mount."""
+    ``path``: a path or URI of a file system that pyarrow knows and all workers reach.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
         for p in batches:
             for x in p.itertuples(index=False):
-                start = max(0, x.range_no * range_bytes - HALO)
-                with open(x.path, "rb") as f:
-                    f.seek(start)
-                    data = f.read((x.range_no + 1) * range_bytes + HALO - start)
-                yield pd.DataFrame([(x.id, x.size_, x.overlap, x.range_no, data, x.range_no * range_bytes - start, range_bytes)])
+                h = halo(x.size_, x.overlap)
+                start = max(0, x.range_no * x.width - h)
+                system, path = fs.FileSystem.from_uri(x.path)
+                with system.open_input_file(path) as f:
+                    data = f.read_at(min((x.range_no + 1) * x.width + h, x.n_bytes) - start, start)
+                yield pd.DataFrame([(x.id, x.size_, x.overlap, x.range_no, (x.range_no + 1) * x.width >= x.n_bytes, data, x.range_no * x.width - start, x.width)])
 
-    r = files.where("n_bytes > 0 and size > 0").withColumn("range_no", F.explode(F.expr(f"sequence(0, cast((n_bytes - 1) div {range_bytes} as int))")))
-    r = r.select("id", "path", F.col("size").alias("size_"), F.coalesce("overlap", F.lit(0)).alias("overlap"), "range_no").repartition("id", "range_no")
-    return r.mapInPandas(read, "id string, size int, overlap int, range_no int, data binary, skip int, width int")
+    r = files.where("n_bytes > 0 and size > 0").select(F.col("id").cast("string").alias("id"), "path", "n_bytes", F.col("size").cast("int").alias("size_"), F.coalesce(F.col("overlap").cast("int"), F.lit(0)).alias("overlap"))
+    r = r.withColumn("width", F.expr(f"greatest({range_bytes}, 16 * (size_ + overlap + {CONTEXT + 2}))").cast("int"))
+    r = r.withColumn("range_no", F.explode(F.expr("sequence(0, cast((n_bytes - 1) div width as int))"))).repartition("id", "range_no")
+    return r.mapInPandas(read, RANGE)
 
 
 def _own(data: bytes, skip: int, width: int) -> tuple[str, int, int]:
@@ -137,56 +165,47 @@ def _own(data: bytes, skip: int, width: int) -> tuple[str, int, int]:
     return before + own + after, len(before), len(before) + len(own)
 
 
-def _tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cores(x) -> tuple[str, int, list[int]]:
+    """The range's text, where its own characters begin in it, and the edges of its cores."""
+    s, a, b = _own(x.data, x.skip, x.width)
+    kind = boundaries(s)
+    half = max(1, x[1] // 2)
+    start = best_cut(kind, a - half, a) if x.range_no else a
+    end = b if x.last else best_cut(kind, b - half, b)
+    return s, a, [start, *cuts(kind, start, end, x[1]), end], b - a
+
+
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for p in batches:
         rows = []
         for x in p.itertuples(index=False):
-            s, a, b = _own(x.data, x.skip, x.width)
-            at, kind = boundaries(s)
-            own = (at > a) & (at <= b)
-            rows.append((x.id, x.range_no, x[1], x.overlap, b - a, at[own] - a, kind[own]))
-        yield pd.DataFrame(rows, columns=["id", "range_no", "size", "overlap", "chars", "at", "kind"])
+            _, _, edges, chars = _cores(x)
+            rows.append((x.id, x.range_no, x[1], x.overlap, chars, len(edges) - 1))
+        yield pd.DataFrame(rows, columns=["id", "range_no", "size", "overlap", "chars", "pieces"])
 
 
-def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in PIECE.split(", ")]
     for p in batches:
         rows = []
         for x in p.itertuples(index=False):
-            s, a, b = _own(x.data, x.skip, x.width)
-            rows.append((x.id, x.piece_no, x.range_no, s[a:b][max(0, x.char_start - x.base) : max(0, x.char_end - x.base)]))
-        yield pd.DataFrame(rows, columns=["id", "piece_no", "range_no", "part"])
+            s, a, edges, _ = _cores(x)
+            for n, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                first = max(lo - x.overlap, a - x.base)  # the text's start
+                rows.append((x.id, x.first_no + n, first - a + x.base, hi - a + x.base, lo - a + x.base, s[first:hi]))
+        yield pd.DataFrame(rows, columns=names)
 
 
 def cut_ranges(ranges: DataFrame) -> DataFrame:
-    """Pieces of texts given as byte ranges."""
-    t = ranges.mapInPandas(_tables, "id string, range_no int, size int, overlap int, chars long, at array<long>, kind array<long>")
-    w = Window.partitionBy("id").orderBy("range_no")
-    counts = t.select("id", "range_no", "chars")
-    base = counts.withColumn("base", F.sum("chars").over(w) - F.col("chars")).select("id", "range_no", "base", "chars")
-    length = t.groupBy("id").agg(F.sum("chars").alias("length"), F.max("size").alias("size"), F.max("overlap").alias("overlap")).where("length > size + overlap")
-    step, slack = "(size - slack)", "if(size > 1, greatest(1, size div 3), 0)"
-    length = length.withColumn("slack", F.expr(slack)).withColumn("step", F.expr(step)).withColumn("cuts", F.expr("greatest(0L, (length - size + slack + step - 1) div step)"))
-    at = t.select("id", "range_no", F.explode(F.arrays_zip("at", "kind")).alias("x")).join(base, ["id", "range_no"])
-    at = at.select("id", (F.col("base") + F.col("x.at")).alias("at"), F.col("x.kind").alias("kind")).join(length, "id")
-    # boundary b lies in window k where k * step - slack < b <= k * step; b has one such k at most, as slack <= step
-    at = at.withColumn("k", F.expr("(at + step - 1) div step")).where("k between 1 and cuts and at > k * step - slack")
-    best = at.groupBy("id", "k").agg(F.max(F.struct("kind", "at")).alias("b")).select("id", "k", F.col("b.at").alias("cut"))
-    windows = length.select("id", "step", F.explode(F.expr("sequence(1L, cuts)")).alias("k"))
-    edges = windows.join(best, ["id", "k"], "left").select("id", "k", F.coalesce("cut", F.col("k") * F.col("step")).alias("cut"))
-    edges = length.select("id", F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("cut")).unionByName(edges)
-    following = Window.partitionBy("id").orderBy("k")
-    piece = edges.withColumn("next", F.lead("cut").over(following)).join(length, "id")
-    piece = piece.select("id", F.col("k").cast("int").alias("piece_no"), F.greatest(F.col("cut") - F.col("overlap"), F.lit(0)).alias("char_start"), F.coalesce("next", "length").alias("char_end"), F.col("cut").alias("core_start"))
-    placed = piece.join(base, "id").where("base < char_end and base + chars > char_start").select("id", "piece_no", "char_start", "char_end", "range_no", "base")
-    parts = placed.select("id", "range_no", "piece_no", "char_start", "char_end", "base").join(ranges.select("id", "range_no", "data", "skip", "width"), ["id", "range_no"])
-    parts = parts.mapInPandas(_parts, "id string, piece_no int, range_no int, part string")
-    whole = parts.groupBy("id", "piece_no").agg(F.array_join(F.expr("transform(array_sort(collect_list(struct(range_no, part))), x -> x.part)"), "").alias("text"))
-    return piece.join(whole, ["id", "piece_no"]).select("id", "piece_no", "char_start", "char_end", "core_start", "text")
+    """Pieces of texts given as byte ranges; texts of at most size + overlap characters have none."""
+    t = ranges.mapInPandas(_counts, "id string, range_no int, size int, overlap int, chars long, pieces long")
+    one = Window.partitionBy("id")
+    upto = one.orderBy("range_no")
+    base = t.withColumn("base", F.sum("chars").over(upto) - F.col("chars")).withColumn("first_no", F.sum("pieces").over(upto) - F.col("pieces"))
+    base = base.withColumn("length", F.sum("chars").over(one)).where("length > size + overlap").select("id", "range_no", "base", "first_no")
+    return ranges.join(base, ["id", "range_no"]).select("id", "size", "overlap", "range_no", "last", "data", "skip", "width", "base", "first_no").mapInPandas(_emit, PIECE)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, size: Column, overlap: Column, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``id, piece_no, char_start, char_end, core_start, text`` of every text over size + overlap characters."""
-    rows = oversized(df, id_col, text_col, size, overlap)
-    long = F.octet_length("text") > range_bytes
-    small = rows.where(~long).mapInPandas(_cut_small, PIECE)
-    return small.unionByName(cut_ranges(byte_ranges(rows.where(long), range_bytes)))
+    return cut_ranges(byte_ranges(oversized(df, id_col, text_col, size, overlap), range_bytes))
