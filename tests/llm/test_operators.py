@@ -245,35 +245,64 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), e).count() == 0 == leaks.leaks(d, e.limit(0)).count()
 
 
-def test_paraphrase_is_reported(spark):
-    base = words(7, 50).split()
-    near = [w if i % 6 else w[:-1] for i, w in enumerate(base)]
-    d = spark.createDataFrame([(1, " ".join(near)), (2, words(8, 60))], "doc_id long, text string")
-    e = spark.createDataFrame([(7, " ".join(base) + " ABC-12345")], "item_id long, passage string")
-    d = d.withColumn("text", F.concat("text", F.lit(" ABC-12345")))
-    got = leaks.leaks(d, e, tolerance=0.3, paraphrases=True).collect()
-    assert [(r.doc_id, r.kind) for r in got] == [(1, "paraphrase")]
-
-
-def test_paraphrase_changed_every_ten_or_eight_characters_is_reported(spark):
+def test_paraphrases_with_production_parameters(spark):
+    """Changed every ten or eight characters: found; every four, elsewhere or without the answer: not."""
     base = words(7, 50).replace(" ", "")
-    d = spark.createDataFrame([(k, "".join("z" if i % k == k - 1 else c for i, c in enumerate(base)) + " ABC-12345") for k in (10, 8, 4)] + [(1, words(8, 60) + " ABC-12345"), (2, words(9, 60))], "doc_id long, text string")
+    changed = lambda k: "".join("z" if i % k == k - 1 else c for i, c in enumerate(base))
+    docs = [(k, words(40 + k, 300) + changed(k) + " ABC-12345 " + words(90 + k, 300)) for k in (10, 8, 4)] + [(1, words(8, 60) + " ABC-12345"), (2, words(9, 60)), (3, changed(10))]
+    # the same characters in the same order, but scattered over a long text
+    docs.append((5, " ".join(c + w for c, w in zip(base, words(77, len(base)).split(), strict=True)) + " ABC-12345"))
+    docs += [(100 + i, words(200 + i, 60)) for i in range(60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
     e = spark.createDataFrame([(7, base + " ABC-12345")], "item_id long, passage string")
     got = {(r.doc_id, r.kind) for r in leaks.leaks(d, e, paraphrases=True).collect()}
     assert got == {(10, "paraphrase"), (8, "paraphrase")}
     assert leaks.leaks(d, e).count() == 0
 
 
-def test_svd_and_lcs(spark):
+def test_truncated_spaces_lose_nothing():
+    """Five thousand passages in spaces of 256 with 128 directions: every window with 60 characters is a candidate."""
+    n = 5000
+    plains = [X.plain_form(words(i, 36)) for i in range(n)]
+    g, starts = X.grams(plains, leaks.N)
+    terms, number = np.unique(g, return_inverse=True)
+    m = leaks.Model(list(range(n)), plains, [[]] * n, terms, starts, number, 60)
+    r = np.random.default_rng(1)
+    m.weigh(r.uniform(1, 12, len(terms)), starts, number)
+    rows = [leaks._latent_space(leaks.RANK)(p).iloc[0] for _, p in m.entries().query("space in (0, 7, 19)").groupby("space")]
+    rest = [s for s in range(len(m.edges) - 1) if s not in (0, 7, 19)]
+    m.add_spaces(rows)
+    for s in rest:  # not needed here
+        m.fold[s], m.latent[s] = np.zeros((m.edges[s + 1] - m.edges[s], 1), np.float32), np.zeros((m.edges[s + 1] - m.edges[s], 1), np.float32)
+    items = [i for s in (0, 7, 19) for i in range(m.edges[s], m.edges[s + 1], 9)]
+    texts = [X.plain_form(words(10**6 + i, 30)) + plains[i][11:71] + X.plain_form(words(2 * 10**6 + i, 30)) for i in items]
+    tg, ts = X.grams(texts, leaks.N)
+    exact, _ = leaks.candidates(m, leaks.Vocabulary(terms), tg, ts, None)
+    assert {(d, i) for d, i in enumerate(items)} <= exact
+    assert len({x for x in exact if m.space[x[1]] in (0, 7, 19)}) < 40 * len(items)
+    assert all(leaks.common_run(plains[i], t, 60) for i, t in zip(items, texts, strict=True))
+
+
+def test_svd_and_lcs():
     r = np.random.default_rng(0)
     a = (r.random((15, 40)) < 0.2) * r.random((15, 40))
     item, term = np.nonzero(a)
-    entries = spark.createDataFrame([(int(i), int(t), float(a[i, t])) for i, t in zip(item, term, strict=True)], "item long, term long, weight double")
-    m = leaks.randomised_svd(entries, 15, 15)
+    m = leaks.randomised_svd(item, term, a[item, term], 15, 15)
     v = a.T @ m
     assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-3)
     assert np.allclose(a @ v @ v.T, a, atol=1e-3)
     assert leaks.lcs_length("abcbdab", "bdcaba") == 4 and leaks.lcs_length("", "a") == 0
+    s = "".join(random.Random(3).choice("abc") for _ in range(300))
+    for p in ("abcabca", "aabbccaabb", s[100:110], s[50:57] + "d"):
+        assert leaks.common_run(p, s, 6) == any(p[j : j + 6] in s for j in range(len(p) - 5))
+
+
+def test_blocks_of_passages(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "PASS_CHARS", 400)
+    items = [(i, words(i, 40)) for i in range(12)]
+    d = spark.createDataFrame([(i, words(500 + i, 20) + t[20:120]) for i, t in items], "doc_id long, text string")
+    got = {tuple(r)[:2] for r in leaks.leaks(d, spark.createDataFrame(items, "item_id long, passage string")).collect()}
+    assert got == {(i, i) for i in range(12)}
 
 
 # ---- 7
