@@ -261,7 +261,7 @@ def test_paraphrases_with_production_parameters(spark):
 
 
 def test_truncated_spaces_lose_nothing():
-    """Five thousand passages in spaces of 256 with 128 directions: every window with 60 characters is a candidate."""
+    """Five thousand passages in spaces of 125 with 96 directions: every window with 60 characters is a candidate."""
     n = 5000
     plains = [X.plain_form(words(i, 36)) for i in range(n)]
     g, starts = X.grams(plains, leaks.N)

@@ -35,7 +35,7 @@ from textloom.llm import text as X
 
 #: Characters of passages held by every task at a time.
 PASS_CHARS = 2_000_000
-SPACE, RANK = 256, 128
+SPACE, RANK = 128, 96
 #: The least cosine of a paraphrase's window with its passage.
 COSINE = 0.08
 N, WINDOW, STRIDE = 6, 90, 30
