@@ -11,6 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.scoring import top_scores
+
 
 def ranked(scores: DataFrame, top: int | None = None, query: str = "query_id", item: str = "doc_id") -> DataFrame:
     """``scores`` with a 1-based ``rank`` by (score descending, item); at most ``top`` a query."""
@@ -44,7 +46,13 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, boost: bool = True, cap: int | None = None, top: int | None = 10) -> DataFrame:
-    """``query_id, doc_id, score, rank`` of matching documents. ``boost``: factor k1 + 1 in the numerator."""
+    """``query_id, doc_id, score, rank`` of matching documents. ``boost``: factor k1 + 1 in the numerator.
+
+    With ``top`` the queries are held against batches of documents (``scoring``); without, every matching pair is a
+    row, made by joins of postings.
+    """
+    if top is not None:
+        return ranked(top_scores(docs, queries, k1, b, boost, cap, top), top)
     q = query_terms(queries, cap)
     hits = docs.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
     hits = hits.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -52,20 +60,21 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     rows = hits.join(df, "term").join(q, "term").crossJoin(F.broadcast(corpus_stats(docs)))  # one row
     tf = F.col("tf") * ((k1 + 1) if boost else 1.0) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = rows.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * idf(F.col("n"), F.col("df")) * tf), 6).alias("score"))
-    return ranked(scores, top)
+    return ranked(scores)
 
 
 def bm25_all_candidates(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, top: int = 10) -> DataFrame:
     """Distinct query terms; documents without a match follow with score 0, in order of their ids, up to ``top``.
 
-    The fill needs at most ``top`` documents a query: those with the smallest ids that do not match.
+    Only queries with fewer than ``top`` matches are filled, and at most ``top`` of the 2 * top smallest ids match.
     """
-    hit = bm25(docs, queries, k1, b, boost=True, cap=1, top=None)
+    hit = bm25(docs, queries, k1, b, boost=True, cap=1, top=top).drop("rank")
     first = Window.partitionBy("query_id").orderBy("doc_id")
     lowest = docs.select("doc_id").orderBy("doc_id").limit(2 * top)
-    fill = queries.select("query_id").distinct().crossJoin(F.broadcast(lowest))  # 2 * top rows
+    few = queries.select("query_id").distinct().join(hit.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < top)
+    fill = few.select("query_id").crossJoin(F.broadcast(lowest))  # 2 * top rows
     fill = fill.join(hit, ["query_id", "doc_id"], "left_anti").withColumn("i", F.row_number().over(first)).where(F.col("i") <= top)
-    return ranked(hit.select("query_id", "doc_id", "score").unionByName(fill.select("query_id", "doc_id", F.lit(0.0).alias("score"))), top)
+    return ranked(hit.unionByName(fill.select("query_id", "doc_id", F.lit(0.0).alias("score"))), top)
 
 
 def bm25f(fields: DataFrame, queries: DataFrame, weights: Mapping[str, float], bs: Mapping[str, float], k1: float = 1.2, top: int = 10) -> DataFrame:
