@@ -78,7 +78,7 @@ def test_chains_are_those_of_the_pigeonring_condition(spark):
         texts.append(" ".join(t))
     h = X.min_hashes([X.plain_form(t) for t in texts], near_duplicates.SEGMENTS * near_duplicates.SYMBOLS)
     own = X.symbols(h, 3).reshape(len(texts), near_duplicates.SEGMENTS, -1)
-    full = X.symbols(h, 8).reshape(own.shape)
+    full = X.symbols(h, 6).reshape(own.shape)
     want = set()
     for i, j in itertools.combinations(range(len(texts)), 2):
         d = (own[i] != own[j]).sum(1)

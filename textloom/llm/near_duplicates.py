@@ -9,7 +9,7 @@ and only pairs whose cumulative differences stay within the budget of every leng
 follows, on one bit of 128 symbols each; the exact likeness of the two texts decides.
 
 The likeness found is exact. First segments are joined on equality, not on the differences that a budget of
-2.1 would let pass, as that would need five keys a segment; so a pair is lost where no segment that is equal begins a
+1.9 would let pass, as that would need five keys a segment; so a pair is lost where no segment that is equal begins a
 chain within budget: 0.6 % of pairs at likeness 0.7, 0.04 % at 0.75, none above. The README has the recall measured.
 
 Nulls: null columns count as empty, rows without a key are left out, texts under ``least`` plain characters have no
@@ -32,10 +32,10 @@ from textloom.plans.lineage import cut
 from textloom.plans.skew import LIMIT, hot_buckets, join_blocks
 
 SEGMENTS, SYMBOLS = 30, 5
-#: Segments of a chain. While it is followed, three bits of a symbol are compared.
-CHAIN, BITS = 5, 3
-#: Of 150 symbols 45 differ in the mean at likeness 0.7, deviation 5.6.
-TAU = 63
+#: Segments of a chain. While it is followed, three bits of a symbol are compared, at its begin all six.
+CHAIN, BITS = 4, 3
+#: Of 150 symbols of three bits 39 differ in the mean at likeness 0.7, deviation 5.4.
+TAU = 57
 #: The same on 128 bits, one of each of so many symbols: 19.2, deviation 4.0.
 TAU_BITS = 33
 #: Hash slots of the keys whose texts are needed: texts of other slots are not moved. Bounds what is broadcast.
@@ -49,7 +49,7 @@ def _codes(least: int):
             keep = [i for i, s in enumerate(main) if s and len(X.plain_form(s)) >= least]
             texts = [X.plain_form("".join(c[i] or "" for c in rest)) for i in keep]
             h = X.min_hashes(texts, SEGMENTS * SYMBOLS)
-            columns = [pa.array([keys[i] for i in keep], pa.string()), pa.array([X.digest(t) for t in texts], pa.binary()), *map(pa.array, X.bit_planes(h)), pa.array([x.tobytes() for x in X.symbols(h, 8)], pa.binary())]
+            columns = [pa.array([keys[i] for i in keep], pa.string()), pa.array([X.digest(t) for t in texts], pa.binary()), *map(pa.array, X.bit_planes(h)), pa.array([x.tobytes() for x in X.symbols(h, 6)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "class", "plane0", "plane1", "code"])
 
     return run
@@ -58,7 +58,7 @@ def _codes(least: int):
 def coded(df: DataFrame, key: str, main: str, columns: Sequence[str], least: int) -> DataFrame:
     """``key, class, plane0, plane1, code`` of the rows whose ``main`` column has at least ``least`` plain characters.
 
-    ``code``: a byte for each symbol; the planes: the lowest bits of 128 symbols.
+    ``code``: a byte with six bits for each symbol; the planes: the lowest bits of 128 symbols.
     """
     rows = df.select(F.col(key).cast("string").alias("key"), F.col(main).alias("main"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     rows = rows.where("key is not null and main is not null")
@@ -74,7 +74,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = BITS * SYMBOLS
         after = sum(np.roll(packed, -k, axis=1) << (width * (k - 1)) for k in range(1, CHAIN))
         ids = np.repeat(b.column(0).to_numpy(), SEGMENTS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(X.segment_numbers(code, SYMBOLS).ravel()), pa.array(after.ravel())], ["id", "block", "next"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(X.segment_numbers(code, SYMBOLS, 6).ravel()), pa.array(after.ravel())], ["id", "block", "next"])
 
 
 def chains(classes: DataFrame) -> DataFrame:
@@ -112,9 +112,9 @@ def _likeness(least: float):
 
 
 def classes_of(codes: DataFrame) -> DataFrame:
-    """``id, rep, plane0, plane1, code`` of each different text; ``id``: 48 bits of its digest, ``rep``: its smallest key."""
+    """``id, rep, plane0, plane1, code`` of each different text; ``id``: 40 bits of its digest, ``rep``: its smallest key."""
     one = codes.groupBy("class").agg(F.min("key").alias("rep"), F.min(F.struct("plane0", "plane1", "code")).alias("s"))
-    return one.select(F.conv(F.hex(F.substring("class", 1, 6)), 16, 10).cast("long").alias("id"), "rep", "s.*")
+    return one.select(F.conv(F.hex(F.substring("class", 1, 5)), 16, 10).cast("long").alias("id"), "rep", "s.*")
 
 
 def chained_pairs(classes: DataFrame, codes: DataFrame, limit: int = LIMIT) -> DataFrame:

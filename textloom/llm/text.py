@@ -178,11 +178,10 @@ def bit_planes(h: np.ndarray) -> list[np.ndarray]:
     return [(bits[:, i : i + 64] << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64) for i in (0, 64)]
 
 
-def segment_numbers(code: np.ndarray, width: int) -> np.ndarray:
-    """Each run of ``width`` bytes of the codes as a number, with the run's place in front."""
-    n = code.shape[0]
-    parts = code.reshape(n, -1, width)
-    out = np.arange(parts.shape[1], dtype=np.int64)[None].repeat(n, 0)
+def segment_numbers(code: np.ndarray, width: int, bits: int = 8) -> np.ndarray:
+    """Each run of ``width`` symbols of ``bits`` bits as a number, with the run's place in front."""
+    parts = code.reshape(code.shape[0], -1, width)
+    out = np.arange(parts.shape[1], dtype=np.int64)[None].repeat(code.shape[0], 0)
     for k in range(width):
-        out = (out << 8) | parts[:, :, k]
+        out = (out << bits) | parts[:, :, k]
     return out
