@@ -45,3 +45,10 @@ def test_min_hashes_estimate_likeness():
     assert abs((h[0] == h[1]).mean() - X.likeness(X.gram_set(a), X.gram_set(b))) < 0.05
     assert not h[2].any()
     assert X.likeness([], []) == 0.0
+
+
+def test_skeleton_covers_type_faces_and_alphabets():
+    for look, plain in (("𝐀bc", "Abc"), ("ɑbc", "abc"), ("Ꭺbc", "Abc"), ("ﬁnd", "find"), ("𝟙2", "12"), ("pαy", "pay"), ("β-pаy", "β-pay"), ("бraсe", "бrace")):
+        assert X.skeleton(look) == plain, look
+    for own in ("①", "²", "α", "мир", "αβγ", "Ꮓ", "㎏"):
+        assert X.skeleton(own) == own, own

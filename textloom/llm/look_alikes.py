@@ -5,8 +5,8 @@ look-alike letters inside words that may be read as Latin) and decomposed again;
 skeleton. Case, punctuation, circled digits and the number of blanks stay.
 
 Nulls: a row with a null key or a null in any compared column is left out; empty texts are equal to each other and
-never differ in characters. Repeated rows count once. Exact copies never meet: a skeleton is looked at only if it
-has two different spellings, which a pre-aggregation decides before rows are moved.
+never differ in characters. Repeated rows count once. Exact copies never meet: a look is kept only if it has two
+spellings, spellings are paired, and only then are pairs expanded to records.
 """
 
 from __future__ import annotations
@@ -15,11 +15,12 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm import text as X
+from textloom.plans.lineage import cut
 
 
 @F.pandas_udf(T.StringType())
@@ -46,16 +47,28 @@ def fingerprints(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "key string, look binary, raw binary")
 
 
-def look_alike_records(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+def look_alike_records(seen: DataFrame) -> DataFrame:
     """``look, raw, key`` of records whose look occurs in more than one spelling."""
-    seen = fingerprints(df, key, columns).distinct()
     spellings = seen.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("look")
-    return seen.join(spellings, "look", "left_semi")
+    return seen.join(spellings, "look", "left_semi").select("look", "raw", "key").distinct()
 
 
 def look_alike_pairs(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``key_a, key_b``: different records, a < b, that look the same and differ in characters."""
-    r = look_alike_records(df, key, columns)
-    a, b = r.alias("a"), r.alias("b")
-    differ: Column = (F.col("a.look") == F.col("b.look")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.key") < F.col("b.key"))
-    return a.join(b, differ).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
+    r = look_alike_records(cut(fingerprints(df, key, columns)))
+    one = r.select("look", "raw").distinct()
+    pairs = one.toDF("look", "raw_a").join(one.toDF("look", "raw_b"), "look").where("raw_a < raw_b").drop("look")
+    keys = r.select("raw", "key")
+    x = pairs.join(keys.toDF("raw_a", "ka"), "raw_a").join(keys.toDF("raw_b", "kb"), "raw_b").where("ka != kb")
+    return x.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
+
+
+def look_alike_groups(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``key, group, spellings``: one row a record in a group of equal looks with two spellings or more.
+
+    The form without pairs, linear in the records; ``group`` is the group's smallest key.
+    """
+    seen = cut(fingerprints(df, key, columns))
+    groups = seen.groupBy("look").agg(F.min("key").alias("group"), F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi")
+    n = seen.select("look", "raw").distinct().groupBy("look").agg(F.count("*").alias("spellings"))
+    return seen.join(groups, "look").join(n, "look").select("key", "group", "spellings").distinct()

@@ -35,6 +35,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.lit("elements").alias("table_name"), "*").unionByName(d.select(F.lit("doc_facts").alias("table_name"), "*"))
 
 
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row a record that looks like another: its group and how many spellings the group has."""
+    e = look_alikes.look_alike_groups(table(spark, sf, "elements"), "element_id", ["text"])
+    d = look_alikes.look_alike_groups(table(spark, sf, "doc_facts"), "doc_id", ["rel_path", "filename"])
+    return e.select(F.lit("elements").alias("table_name"), "*").unionByName(d.select(F.lit("doc_facts").alias("table_name"), "*"))
+
+
 def p5_consistent_forms(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "elements").select(F.lit("elements").alias("table_name"), F.col("element_id").alias("key"), F.lit("text").alias("field_name"), F.col("text").alias("v"))
     d = table(spark, sf, "doc_facts")

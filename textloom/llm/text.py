@@ -28,6 +28,20 @@ LOOK_ALIKE = {
     # Armenian
     "Ս": "U", "Օ": "O", "հ": "h", "ո": "n", "ս": "u", "օ": "o", "ց": "g",
 }
+# The same, only where the word has a Latin letter too.
+LOOK_ALIKE_INSIDE = {
+    # Greek
+    "α": "a", "γ": "y", "υ": "u", "Ϲ": "C", "ϲ": "c", "ϳ": "j", "Ϳ": "J",
+    # Cyrillic
+    "ү": "y", "Ѵ": "V", "Һ": "H", "Ӏ": "I", "ѡ": "w", "ԍ": "g", "Ԍ": "G", "ӕ": "æ", "Ӕ": "Æ",
+    # Armenian
+    "Լ": "L", "Տ": "S", "ղ": "n", "յ": "j", "զ": "q", "ժ": "d",
+    # Cherokee
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L",
+    "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꭹ": "Y", "Ꮓ": "Z",
+    # phonetic and small capital letters
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ȷ": "j", "ɩ": "i", "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
+}
 # Characters without width or ink.
 INVISIBLE = "".join(map(chr, [0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF]))
 # Blanks as wide as an ordinary one or less, and blanks as wide as a full-width letter.
@@ -45,15 +59,29 @@ def _maps() -> tuple[dict[int, str | None], re.Pattern, re.Pattern, re.Pattern]:
         if tag in ("<wide>", "<narrow>") and code != 0x3000:
             table[code] = chr(int(to, 16))
     table |= {code: None for code in range(0xFE00, 0xFE10)}
+    # letters in other type faces, and letters set as one; neither circled nor raised ones
+    for code in [*range(0x2100, 0x2150), *range(0x1D400, 0x1D800), *range(0xFB00, 0xFB07)]:
+        tag, _, to = unicodedata.decomposition(chr(code)).partition(" ")
+        to = "".join(chr(int(x, 16)) for x in to.split())
+        if to.isalnum() and (tag == "<font>" or tag == "<compat>" and code >= 0xFB00):
+            table[code] = unicodedata.normalize("NFKC", to)
     own = "".join(re.escape(chr(c)) for c in table)
-    foreign = "".join(LOOK_ALIKE)
-    letters = r"A-Za-z\u00c0-\u024f\u0300-\u036f"
-    # A word is replaced only if all of it may be read as Latin, so that true Greek or Cyrillic words stay.
-    word = re.compile(f"(?<![{letters}\\u0370-\\u058f])(?=[{letters}]*[{foreign}])[{letters}{foreign}]+(?![{letters}\\u0370-\\u058f])")
+    foreign = "".join(LOOK_ALIKE) + "".join(LOOK_ALIKE_INSIDE)
+    word = re.compile("[A-Za-z\u00c0-\u02af\u0300-\u058f\u13a0-\u13fd\u1d00-\u1d2b\ua730-\ua7ff]+")
     return table, re.compile(f"[{own}]"), re.compile(f"[{foreign}]"), word
 
 
 _FOREIGN = str.maketrans(LOOK_ALIKE)
+_INSIDE = str.maketrans(LOOK_ALIKE | LOOK_ALIKE_INSIDE)
+_LATIN = re.compile("[A-Za-z\u00c0-\u00ff]")
+_ALL_FOREIGN = re.compile(f"[{''.join(LOOK_ALIKE)}\u0300-\u036f]+")
+
+
+def _latin_word(m: re.Match) -> str:
+    """A word with a Latin letter takes all prototypes; one without only if all of it may be read as Latin."""
+    if _LATIN.search(m[0]):
+        return m[0].translate(_INSIDE)
+    return m[0].translate(_FOREIGN) if _ALL_FOREIGN.fullmatch(m[0]) else m[0]
 
 
 def skeleton(s: str | None) -> str:
@@ -66,10 +94,9 @@ def skeleton(s: str | None) -> str:
     nfc = unicodedata.is_normalized("NFC", s)
     if nfc and not own.search(s) and not foreign.search(s):
         return s
-    t = unicodedata.normalize("NFD", s).translate(table)
-    t = unicodedata.normalize("NFC", t)
+    t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(table))
     if foreign.search(t):
-        t = word.sub(lambda m: m[0].translate(_FOREIGN), t)
+        t = word.sub(_latin_word, t)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", t))
 
 
