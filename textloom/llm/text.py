@@ -65,7 +65,8 @@ def _maps() -> tuple[dict[int, str | None], re.Pattern, re.Pattern, re.Pattern]:
         to = "".join(chr(int(x, 16)) for x in to.split())
         if to.isalnum() and (tag == "<font>" or tag == "<compat>" and code >= 0xFB00):
             table[code] = unicodedata.normalize("NFKC", to)
-    own = "".join(re.escape(chr(c)) for c in table)
+    # beyond the basic plane one range, as a set of single characters is searched one by one there
+    own = "".join(re.escape(chr(c)) for c in table if c < 0x10000) + "\U0001d400-\U0001d7ff"
     foreign = "".join(LOOK_ALIKE) + "".join(LOOK_ALIKE_INSIDE)
     word = re.compile("[A-Za-z\u00c0-\u02af\u0300-\u058f\u13a0-\u13fd\u1d00-\u1d2b\ua730-\ua7ff]+")
     return table, re.compile(f"[{own}]"), re.compile(f"[{foreign}]"), word
