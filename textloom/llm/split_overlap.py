@@ -1,10 +1,10 @@
 """Problem 4: the same or nearly the same records across splits, by similarity-hash bit fingerprints.
 
-A question's fingerprint is a similarity hash of its 3-character substrings: 240 lanes of 8 bits, each lane equal in
-two questions with a probability of at least their likeness. The fingerprint is cut into 48 blocks of 40 bits; blocks
+A question's fingerprint is a similarity hash of its 3-character substrings: 220 lanes of 8 bits, each lane equal in
+two questions with a probability of at least their likeness. The fingerprint is cut into 44 blocks of 40 bits; blocks
 are joined across the splits. Pairs that meet in a block must lie within the Hamming ``RADIUS`` on the fingerprint's
-lowest bit plane (128 bits of it); the exact likeness of the texts decides. A likeness of 0.7 is met with 99.99 % by
-the blocks, one of 0.75 or more always but for 2 in 10^6.
+lowest bit plane (128 bits of it); the exact likeness of the texts decides. A likeness of 0.7 is met with 99.97 % by
+the blocks, one of 0.75 but for 7 in 10^6.
 
 Equal questions form one class before blocks are made, so a question that a third of the records ask meets the
 other split once; a block held by a large part of all questions is split over tasks (``plans/skew``). Gold lists that
@@ -30,7 +30,7 @@ from textloom.llm import text as X
 from textloom.plans.lineage import cut
 from textloom.plans.skew import LIMIT, hot_buckets, join_blocks
 
-BLOCKS, LANES = 48, 5
+BLOCKS, LANES = 44, 5
 #: Expected differences of 128 bits at likeness 0.7: 19.2, deviation 4.0.
 RADIUS = 33
 
