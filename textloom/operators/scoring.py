@@ -82,11 +82,11 @@ def _count(block):
     return run
 
 
-class _Best:
+class Best:
     """The best scores of each query so far: (query, place of the document, score)."""
 
     def __init__(self, n: int, top: int):
-        self.top, self.bound = top, np.full(n, 1e-9)
+        self.top, self.bound = top, np.full(n, 1e-9)  # scores below the bound can be dropped
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
@@ -116,7 +116,7 @@ def _score(block, k1: float, b: float, boost: bool, top: int, key: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = block.value
         n_queries = len(m.ids)
-        best, keys, base = _Best(n_queries, top), [], 0
+        best, keys, base = Best(n_queries, top), [], 0
         idf = np.log(1 + (m.n - m.df + 0.5) / (m.df + 0.5))
         each = np.diff(m.first)
         step = max(1, CELLS // max(1, n_queries))

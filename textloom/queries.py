@@ -392,6 +392,11 @@ def _nearest(s, d, top):
     return vectors.nearest(e, e.where("vec_id % 100 = 0"), top)
 
 
+def _similarities(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return vectors.similarities(e, e.where("vec_id % 100 = 0"))
+
+
 @query(f"WITH {UNIT} " + ranked_sql("SELECT * FROM s", 10))
 def dense_dot_topk(s, d):
     return _nearest(s, d, 10)
@@ -399,7 +404,7 @@ def dense_dot_topk(s, d):
 
 @query(f"WITH {UNIT} " + ranked_sql("SELECT * FROM s", None))
 def dense_rank_all(s, d):
-    return _nearest(s, d, 1 << 30)
+    return _nearest(s, d, None)
 
 
 @query(f"WITH {UNIT}, r AS (" + ranked_sql("SELECT * FROM s", 40) + "), x AS (SELECT r.* FROM r LEFT JOIN (SELECT query_id, doc_id FROM r WHERE rank <= 3) t USING (query_id, doc_id) WHERE t.doc_id IS NULL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM x) WHERE place <= 10")
@@ -410,7 +415,7 @@ def dense_pull_backfill(s, d):
 
 @query(f"WITH {UNIT} SELECT query_id, count(*) AS n, round(avg(score), 6) AS mean, min(score) AS low, max(score) AS high FROM s GROUP BY query_id")
 def dense_cosine(s, d):
-    return _nearest(s, d, 1 << 30).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
+    return _similarities(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"))
 
 
 @query(f"WITH {UNIT}, r AS (" + ranked_sql("SELECT * FROM s", 10) + ") SELECT a.label AS label, count(*) AS n, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS same FROM r JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id GROUP BY a.label")
@@ -429,7 +434,7 @@ def embedding_audit(s, d):
 @query(f"WITH {UNIT} " + ranked_sql("SELECT query_id, doc_id, round(score + CASE WHEN a.label = b.label THEN 0.15 ELSE 0 END, 6) AS score FROM s JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = doc_id", 10))
 def boost_taxonomy_additive(s, d):
     e = table(s, d, "embeddings")
-    r = _nearest(s, d, 1 << 30).drop("rank")
+    r = _similarities(s, d)
     r = r.join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("a")), "query_id").join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "doc_id")
     return lexical.ranked(r.select("query_id", "doc_id", F.round(F.col("score") + F.when(F.col("a") == F.col("b"), 0.15).otherwise(0.0), 6).alias("score")), 10)
 
