@@ -107,3 +107,33 @@ def test_refusals(spark):
     assert got["n1"] == "o1" and got["n2"].startswith("n-") and len(got["n2"]) == 18
     with pytest.raises(Exception, match="occurs twice"):
         matching.stable_ids(new, old.unionByName(old), ["k", "t"]).collect()
+
+
+def test_skeletons_are_lossless(spark):
+    from textloom.operators import skeletons
+
+    texts = ["지급 사유는 30일 이내, 금액 100만원.", "지급 사유는 90일 이내, 금액 200만원.", "지급 사유는 180일 이내, 금액 200만원."]
+    frame = skeletons.skeleton(texts)
+    for t in texts:
+        assert skeletons.filled(frame, skeletons.gaps(t, frame)) == t
+    assert "사유는" in frame and "30일" not in frame
+    df = spark.createDataFrame([("k", f"v{i}", t) for i, t in enumerate(texts)] + [("k", "v9", None), ("one", "v", "a b")], "key string, version string, text string")
+    made = skeletons.induced(df, "key", "version", "text")
+    assert made.where("lossless").count() == made.count() == 4
+    kinds = {(r.kind, r["values"]) for r in skeletons.key_values(made).collect()}
+    assert kinds == {("period", 3), ("amount", 2)}
+
+
+def test_tags_on_axes():
+    from textloom.queries_ranks import adapt
+
+    got = adapt({"a": {"subject": ["x", {"deep": "y"}], "flag": True, "none": None}, "n": 3, "skip": {"subject": "z"}}, {"subject": "s"}, frozenset({"skip"}))
+    assert got == {"s": ["x", "y"], "extra": ["3"]}
+
+
+def test_alignment_of_answers(spark):
+    from textloom.queries_ranks import aligned
+
+    rows = [('[{"i":2,"v":"b"},{"i":1,"v":"a"}]', 2), ('[{"v":"a"},{"v":"b"}]', 2), ('[{"i":1,"v":"a"}]', 2), ('[{"i":1,"v":"a"},{"i":3,"v":"b"}]', 2), ("no json", 1), (None, 0), ("[]", 0)]
+    df = spark.createDataFrame(rows, "said string, n int")
+    assert [r.y for r in df.select(aligned(F.col("said"), F.col("n")).alias("y")).collect()] == [["a", "b"], ["a", "b"], None, None, None, None, []]

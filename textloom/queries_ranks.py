@@ -274,3 +274,142 @@ def metric_span_coverage(s, d):
     x = gold.join(top, "query_id", "left").select("query_id", "evidence", F.coalesce("found", F.array().cast("array<string>")).alias("found"))
     return x.mapInPandas(run, "query_id string, coverage double, density double, f1 double")
 
+
+
+# ---- identities and tags
+
+_NAME = "SELECT DISTINCT regexp_extract(clean_name, '^[가-힣]+') AS name FROM doc_facts WHERE length(regexp_extract(clean_name, '^[가-힣]+')) >= 6"
+
+
+def _names(s, d) -> DataFrame:
+    return table(s, d, "doc_facts").where("clean_name is not null").select(F.regexp_extract("clean_name", "^[가-힣]+", 0).alias("name")).where("char_length(name) >= 6").distinct()
+
+
+@query(f"""WITH n AS ({_NAME}), l AS (SELECT unnest(range(3, 9)) AS l), p AS (SELECT name, l, unnest(range(1, length(name) - l + 2)) AS i FROM n CROSS JOIN l), b AS (SELECT DISTINCT name, substr(name, i, l) AS sub FROM p),
+h AS (SELECT sub FROM b GROUP BY sub HAVING count(*) >= 2), v AS (SELECT DISTINCT name, left(name, strpos(name, sub) - 1) || substr(name, strpos(name, sub) + length(sub)) AS variant FROM b JOIN h USING (sub))
+SELECT name, variant FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY length(variant) DESC, variant) AS n FROM v WHERE length(variant) >= 3) WHERE n <= 12""")
+def route_identity_expand(s, d):
+    """Variants of a name without a substring of 3 to 8 characters that another name has too; the twelve longest."""
+    n = _names(s, d).withColumn("l", F.explode(F.sequence(F.lit(3), F.lit(8)))).where("char_length(name) >= l")
+    b = n.withColumn("i", F.explode(F.expr("sequence(1, char_length(name) - l + 1)"))).select("name", F.substring(F.col("name"), F.col("i"), F.col("l")).alias("sub")).distinct()
+    h = b.groupBy("sub").agg(F.count("*").alias("k")).where("k >= 2").select("sub")
+    at = F.position(F.col("sub"), F.col("name"))
+    v = b.join(h, "sub").select("name", F.concat(F.substring(F.col("name"), F.lit(1), at - 1), F.substring(F.col("name"), at + F.char_length("sub"), F.char_length("name"))).alias("variant")).where("char_length(variant) >= 3").distinct()
+    w = Window.partitionBy("name").orderBy(F.char_length("variant").desc(), "variant")
+    return v.withColumn("n", F.row_number().over(w)).where("n <= 12").drop("n")
+
+
+def common_part(a: str, b: str) -> int:
+    """Length of the longest common substring."""
+    import difflib
+
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+
+
+@query()
+def route_slots(s, d):
+    """The contract a question names, whole (1.0) or in part (0.5), with its role, amounts, periods and codes.
+
+    In part: six characters in common, or four that are 0.6 of the name; the longest, then the smaller name.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            yield p.assign(size=[common_part(t, n) for t, n in zip(p.t, p.name, strict=True)])[["qid", "name", "size"]]
+
+    q = asked(s, d)
+    names = table(s, d, "elements").where("contract_scope is not null").select(F.regexp_extract("contract_scope", "^[가-힣]+", 0).alias("name")).unionByName(_names(s, d)).where("char_length(name) >= 4").distinct()
+    exact = contained(q, "t", names, "name", 4).select("qid", "name", F.char_length("name").alias("size")).withColumn("confidence", F.lit(1.0))
+    grams = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{4}))."), F.lit(1)))
+    met = q.select("qid", "t", F.explode(grams("t")).alias("g")).join(names.select("name", F.explode(grams("name")).alias("g")), "g").select("qid", "t", "name").distinct()
+    part = met.mapInPandas(run, "qid string, name string, size int").where((F.col("size") >= 6) | ((F.col("size") >= 4) & (F.col("size") >= 0.6 * F.char_length("name")))).withColumn("confidence", F.lit(0.5))
+    w = Window.partitionBy("qid").orderBy(F.col("confidence").desc(), F.col("size").desc(), "name")
+    best = exact.unionByName(part).withColumn("n", F.row_number().over(w)).where("n = 1").select("qid", F.col("name").alias("contract"), "confidence")
+    role = F.when(F.col("t").rlike("청구|서류"), "claim").when(F.col("t").rlike("얼마|만원|금액"), "amount").when(F.col("t").rlike("며칠|기간|개월"), "period").when(F.col("t").rlike("어디|조항"), "place")
+    found = lambda p: F.array_join(F.array_distinct(F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1))), "|")
+    return q.join(best, "qid", "left").select("qid", "contract", "confidence", role.alias("role"), *[found(_AXES[n]).alias(n) for n in ("amount", "period", "code")])
+
+
+@query(f"WITH {_EL}, {_T1}, x AS (SELECT element_id, unnest(['subject', 'role', 'qualifier', 'reference']) AS field, unnest([coalesce(array_to_string(subject_key, ' '), ''), coalesce(array_to_string(role, ' '), ''), coalesce(array_to_string(qualifier, ' '), ''), coalesce(array_to_string(reference, ' '), '')]) AS body FROM element_semantic_fields_v4) SELECT field, count(DISTINCT element_id) AS elements, count(*) FILTER (body <> '') AS filled FROM x GROUP BY field")
+def schema_adapter(s, d):
+    """Nested tags of unknown shape put on axes by the name of their last key; here how many elements fill each axis."""
+    f = table(s, d, "element_semantic_fields_v4")
+    tag = F.to_json(F.struct(F.struct("subject_key", "role").alias("what"), F.struct("qualifier", F.struct("reference").alias("see")).alias("more")))
+    rows = axes(f.select("element_id", tag.alias("tag")), "element_id", "tag", {"subject_key": "subject", "reference": "reference", "role": "role", "qualifier": "qualifier"})
+    every = f.select("element_id", F.explode(F.array(*map(F.lit, ("subject", "role", "qualifier", "reference")))).alias("field"))
+    n = every.groupBy("field").agg(F.count_distinct("element_id").alias("elements"))
+    filled = rows.where("axis != 'extra' and body != ''").groupBy(F.col("axis").alias("field")).agg(F.count("*").alias("filled"))
+    return n.join(filled, "field", "left").select("field", "elements", F.coalesce("filled", F.lit(0)).alias("filled"))
+
+
+def adapt(tag, aliases: dict[str, str], ignored: frozenset[str] = frozenset()) -> dict[str, list[str]]:
+    """Scalars of a nested value by axis: that of the nearest key with an alias; unknown ones under 'extra'.
+
+    Keys in ``ignored`` are dropped with what is under them, as are booleans and nulls.
+    """
+    out: dict[str, list[str]] = {}
+    todo = [(tag, None)]
+    while todo:
+        value, axis = todo.pop()
+        if isinstance(value, dict):
+            todo += [(v, aliases.get(k, axis)) for k, v in reversed(list(value.items())) if k not in ignored]
+        elif isinstance(value, list):
+            todo += [(v, axis) for v in reversed(value)]
+        elif value is not None and not isinstance(value, bool):
+            out.setdefault(axis or "extra", []).append(str(value))
+    return out
+
+
+def axes(df: DataFrame, key: str, tag: str, aliases: dict[str, str]) -> DataFrame:
+    """``key, axis, body`` of JSON tags: the values of an axis joined by blanks."""
+    import json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            rows = [(k, a, " ".join(v)) for k, t in zip(p[key], p[tag], strict=True) if t is not None for a, v in adapt(json.loads(t), aliases).items()]
+            yield pd.DataFrame(rows, columns=["key", "axis", "body"])
+
+    return df.select(key, tag).mapInPandas(run, "key string, axis string, body string")
+
+
+NOISE = {"markup": "&nbsp;|<br>", "rule": r"(?m)^\s*=====\s*$", "omitted": r"\[표 생략\]", "page": r"(?m)^\s*-\s*[0-9]+\s*-\s*$"}
+
+
+@query("SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in NOISE.items()) + ") AS profiles FROM documents WHERE text IS NOT NULL")
+def predicate_noise_block(s, d):
+    """The noise profiles of which any pattern matches."""
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.concat_ws(",", *[F.when(F.col("text").rlike(p), n) for n, p in NOISE.items()]).alias("profiles"))
+
+
+@query("SELECT element_id, schema_tag FROM element_semantic_fields_v4 WHERE schema_tag = 'table' AND len(list_filter(coalesce(role, []), lambda x: lower(trim(x)) IN ('payment_amount', 'limit_frequency'))) > 0 AND len(list_filter(coalesce(subject_key, []), lambda x: trim(x) <> '')) > 0")
+def filter_metadata_and(s, d):
+    """All given fields: a list of names matches any of a list column, case ignored; a single value matches exactly."""
+    f = table(s, d, "element_semantic_fields_v4").where(all_fields({"schema_tag": "table", "role": ["Payment_Amount", "limit_frequency"]}))
+    return f.where(F.exists("subject_key", lambda x: F.trim(x) != "")).select("element_id", "schema_tag")
+
+
+def all_fields(wanted: dict[str, str | list[str]]):
+    """True where every field agrees: names (a list) any of a list column, case and outer blanks ignored, or one value."""
+    out = F.lit(True)
+    for c, v in wanted.items():
+        names = [x.strip().lower() for x in v] if isinstance(v, list) else []
+        out = out & F.coalesce(F.exists(c, lambda x: F.lower(F.trim(x)).isin(names)) if isinstance(v, list) else F.col(c) == v, F.lit(False))  # noqa: B023
+    return out
+
+
+@query()
+def bm25f_structured_tags(s, d):
+    """Tag fields by weighted BM25 of bigrams, with bonuses for a contract (2.0), an article (2.0) and a code (2.5) named."""
+    weights = {"subject_key": 3.0, "qualifier": 1.5, "reference": 1.0, "role": 0.5, "contract": 2.0}
+    f = table(s, d, "element_semantic_fields_v4").where("element_id is not null")
+    parts = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(F.array_join(c, " "), F.lit("")).alias("body")) for c in ("subject_key", "qualifier", "reference", "role")], F.struct(F.lit("contract").alias("field"), F.coalesce("contract_key", F.lit("")).alias("body")))
+    rows = f.select(F.col("element_id").alias("doc_id"), F.explode(parts).alias("x")).select("doc_id", "x.*").groupBy("doc_id", "field").agg(F.min("body").alias("body"))
+    q = _first(s, d).select(F.col("qid").alias("query_id"), "question")
+    base = lexical.bm25f(rows.select("doc_id", "field", T.bigrams(F.col("body")).alias("tokens")), q.select("query_id", T.bigrams(F.col("question")).alias("tokens")), weights, dict.fromkeys(weights, 0.5), top=50)
+    wide = rows.groupBy("doc_id").agg(*[F.max(F.when(F.col("field") == c, F.col("body"))).alias(c) for c in ("contract", "reference", "subject_key", "qualifier")])
+    x = base.join(wide, "doc_id").join(q, "query_id")
+    stem = F.regexp_extract("contract", "^[가-힣]+", 0)
+    article = F.arrays_overlap(F.regexp_extract_all("question", F.lit("(제[0-9]+조)"), F.lit(1)), F.regexp_extract_all("reference", F.lit("(제[0-9]+조)"), F.lit(1)))
+    codes = F.size(F.filter(F.regexp_extract_all("question", F.lit("([A-Z]{2,4}-?[0-9]{4,6})"), F.lit(1)), lambda v: F.contains(F.concat_ws(" ", "subject_key", "qualifier"), v)))
+    bonus = F.when((F.char_length(stem) >= 3) & F.contains(F.col("question"), stem), 2.0).otherwise(0.0) + F.when(article, 2.0).otherwise(0.0) + 2.5 * codes
+    return lexical.ranked(x.select("query_id", "doc_id", F.round(F.col("score") + bonus, 6).alias("score")), 10)

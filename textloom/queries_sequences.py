@@ -181,3 +181,61 @@ def _shipped(f):
 
 for _n in ("chunk_recursive_600", "chunk_article_mix_limit", "split_elements_markdown", "split_elements_sections", "split_structural_repair", "win_cumulative_pack", "win_appendix_context", "near_dup_family_dedup", "near_dup_cover_top", "quota_unique_unit", "stat_bca", "stat_bootstrap_paired_numpy"):
     QUERIES[_n] = _shipped(QUERIES[_n])
+
+
+# ---- skeletons of texts that recur, views, balanced halves
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    from textloom.operators import skeletons
+
+    e = table(s, d, "elements").where("element_type = 'heading' or char_length(text) < 400")
+    key = F.regexp_replace(F.regexp_replace("title", "[0-9]+", "0"), r"\s+", " ")
+    return skeletons.induced(e.select("element_id", "text", key.alias("key")).where("key != ''"), "key", "element_id", "text")
+
+
+@query()
+def skeleton_induce(s, d):
+    return _versions(s, d)
+
+
+@query()
+def skeleton_key_values(s, d):
+    from textloom.operators import skeletons
+
+    return skeletons.key_values(_versions(s, d))
+
+
+@query("SELECT CASE WHEN source LIKE 'terms%' THEN 'terms' ELSE 'other' END AS arm, count(*) AS documents, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
+def corpus_materialize(s, d):
+    """A folder for each arm, written apart and read apart, so that no arm can see another's documents."""
+    docs = table(s, d, "documents").select("doc_id", "source", "text", F.when(F.col("source").like("terms%"), "terms").otherwise("other").alias("arm"))
+    path = _folder(s, "arms")
+    docs.write.partitionBy("arm").parquet(path)
+    out = None
+    for arm in ("terms", "other"):
+        try:
+            view = s.read.parquet(f"{path}/arm={arm}")
+        except Exception as e:  # an arm without documents has no folder
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        x = view.agg(F.count("*").alias("documents"), F.count_distinct("source").alias("sources")).select(F.lit(arm).alias("arm"), "documents", "sources")
+        out = x if out is None else out.unionByName(x)
+    return out if out is not None else s.createDataFrame([], "arm string, documents long, sources long")
+
+
+@query(r"""WITH t AS (SELECT qid, min(regexp_replace(lower(question), '\s+', '', 'g')) AS g, min(coalesce(array_to_string(list_sort(content_labels), ','), '')) AS labels FROM train350_gold WHERE qid IS NOT NULL AND question IS NOT NULL GROUP BY qid),
+u AS (SELECT g, min(labels) AS pattern FROM t GROUP BY g), n AS (SELECT pattern, count(*) AS n FROM u GROUP BY pattern), o AS (SELECT pattern, n, n // 2 + CASE WHEN n % 2 = 1 AND row_number() OVER (PARTITION BY n % 2 ORDER BY pattern) % 2 = 1 THEN 1 ELSE 0 END AS quota FROM n),
+r AS (SELECT g, u.pattern, CASE WHEN row_number() OVER (PARTITION BY u.pattern ORDER BY sha256(g), g) <= quota THEN 'test' ELSE 'train' END AS part FROM u JOIN o USING (pattern)) SELECT qid, part FROM t JOIN r USING (g)""")
+def split_balanced(s, d):
+    """Halves with every set of labels split evenly (odd ones by turns); wordings of one question stay together."""
+    q = table(s, d, "train350_gold").where("qid is not null and question is not null")
+    t = q.groupBy("qid").agg(F.min(F.regexp_replace(F.lower("question"), r"\s+", "")).alias("g"), F.min(F.coalesce(F.array_join(F.array_sort("content_labels"), ","), F.lit(""))).alias("labels"))
+    u = t.groupBy("g").agg(F.min("labels").alias("pattern"))
+    n = u.groupBy("pattern").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy(F.col("n") % 2).orderBy("pattern")) % 2  # a row a set of labels
+    o = n.select("pattern", (F.floor(F.col("n") / 2) + ((F.col("n") % 2 == 1) & (turn == 1)).cast("int")).alias("quota"))
+    w = Window.partitionBy("pattern").orderBy(F.sha2("g", 256), "g")
+    r = u.join(o, "pattern").select("g", F.when(F.row_number().over(w) <= F.col("quota"), "test").otherwise("train").alias("part"))
+    return t.join(r, "g").select("qid", "part")
