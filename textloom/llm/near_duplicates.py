@@ -10,7 +10,7 @@ follows, on one bit of 128 symbols each; the exact likeness of the two texts dec
 
 The likeness found is exact. First segments are joined on equality, not on the differences that a budget of
 1.9 would let pass, as that would need five keys a segment; so a pair is lost where no segment that is equal begins a
-chain within budget: 0.6 % of pairs at likeness 0.7, 0.04 % at 0.75, none above. The README has the recall measured.
+chain within budget: 0.6 % of pairs at likeness 0.7, 0.04 % at 0.75, under 0.001 % at 0.8. The README has the recall measured.
 
 Nulls: null columns count as empty, rows without a key are left out, texts under ``least`` plain characters have no
 partners. Repeated rows count once; of a key with different texts the smallest decides. Copies meet only as members
