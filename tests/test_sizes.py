@@ -2,6 +2,8 @@
 
 import time
 
+import pytest
+
 import __spark_entry__ as entry
 from tests.test_queries import rows_of
 
@@ -41,3 +43,19 @@ def test_gold_occurrences_of_a_common_beginning(spark, tmp_path):
     began = time.time()
     rows = entry.queries()["gold_occurrence_expand"](spark, d).collect()
     assert len(rows) == 10 * n and time.time() - began < 40
+
+
+@pytest.mark.parametrize("name", ["str_trigrams"])
+def test_grams_of_odd_texts_by_sql(spark, tmp_path, name):
+    rows = [("long", "가나 다라-마바사 " * 30), ("one", " 가 "), ("two", "가-나"), ("astral", "가😀나\n다"), ("empty", ""), ("none", None)]
+    d = written(spark, tmp_path, elements=(rows, "element_id string, text string"))
+    df = entry.queries()[name](spark, d)
+    assert rows_of(df.columns, df.collect()) == by_sql(d, name, "elements")
+
+
+@pytest.mark.parametrize(("name", "value"), [("str_trigrams", 7)])
+def test_grams_of_a_long_text(spark, tmp_path, name, value):
+    d = written(spark, tmp_path, elements=([("long", "가나 다라-마바사 " * 8_000)], "element_id string, text string"))
+    began = time.time()
+    rows = entry.queries()[name](spark, d).collect()
+    assert [r.value for r in rows] == [value] and time.time() - began < 20
