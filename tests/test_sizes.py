@@ -45,7 +45,7 @@ def test_gold_occurrences_of_a_common_beginning(spark, tmp_path):
     assert len(rows) == 10 * n and time.time() - began < 40
 
 
-@pytest.mark.parametrize("name", ["str_trigrams"])
+@pytest.mark.parametrize("name", ["str_trigrams", "tokenize_char_bigram_compact"])
 def test_grams_of_odd_texts_by_sql(spark, tmp_path, name):
     rows = [("long", "가나 다라-마바사 " * 30), ("one", " 가 "), ("two", "가-나"), ("astral", "가😀나\n다"), ("empty", ""), ("none", None)]
     d = written(spark, tmp_path, elements=(rows, "element_id string, text string"))
@@ -53,7 +53,7 @@ def test_grams_of_odd_texts_by_sql(spark, tmp_path, name):
     assert rows_of(df.columns, df.collect()) == by_sql(d, name, "elements")
 
 
-@pytest.mark.parametrize(("name", "value"), [("str_trigrams", 7)])
+@pytest.mark.parametrize(("name", "value"), [("str_trigrams", 7), ("tokenize_char_bigram_compact", "|".join(["가나", "나다", "다라", "라마", "마바", "바사", "사가"] * 8_000)[:-3])])
 def test_grams_of_a_long_text(spark, tmp_path, name, value):
     d = written(spark, tmp_path, elements=([("long", "가나 다라-마바사 " * 8_000)], "element_id string, text string"))
     began = time.time()
