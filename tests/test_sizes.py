@@ -59,3 +59,22 @@ def test_grams_of_a_long_text(spark, tmp_path, name, value):
     began = time.time()
     rows = entry.queries()[name](spark, d).collect()
     assert [r.value for r in rows] == [value] and time.time() - began < 20
+
+
+FIELDS = "element_id string, locator struct<article: string, article_title: string, section: string>"
+
+
+def test_locators_of_many_questions(spark, tmp_path, monkeypatch):
+    from textloom.operators import scoring
+
+    monkeypatch.setattr(scoring, "QUERIES", 200)
+    n, same = 500, "가나다라마바사아자차카타파하거너더러머버서어저처"
+    own = lambda i: "".join(chr(0x4E00 + 20 * i + j) for j in range(20))
+    fields = [(f"e{i}", (same, own(i), None)) for i in range(n)] + [("short", ("가나", None, None)), ("none", None)]
+    gold = [(f"q{i}", f"{own(i)[:8]} {same}") for i in range(n)] + [("q0", own(1)), ("q1", None), (None, same)]
+    d = written(spark, tmp_path, element_semantic_fields_v4=(fields, FIELDS), train350_gold=(gold, "qid string, question string"))
+    began = time.time()
+    df = entry.queries()["locator_coverage_bonus"](spark, d)
+    got = rows_of(df.columns, df.collect())
+    assert time.time() - began < 60
+    assert got == by_sql(d, "locator_coverage_bonus", "element_semantic_fields_v4", "train350_gold") and len(got[1]) > n
