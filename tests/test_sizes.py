@@ -78,3 +78,33 @@ def test_locators_of_many_questions(spark, tmp_path, monkeypatch):
     got = rows_of(df.columns, df.collect())
     assert time.time() - began < 60
     assert got == by_sql(d, "locator_coverage_bonus", "element_semantic_fields_v4", "train350_gold") and len(got[1]) > n
+
+
+def test_named_contracts_by_comparison(spark, tmp_path, monkeypatch):
+    import random
+
+    from textloom import queries_ranks as R
+
+    monkeypatch.setattr(R, "NAMES", 40)
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("가나다", k=rng.choice([3, 4, 5, 6, 7, 9, 12, 50]))) for _ in range(150)})
+    gold = [(f"q{i}", "".join(rng.choices("가나다 라1", [4, 4, 4, 1, 1, 1], k=rng.choice([3, 8, 20, 40])))) for i in range(150)] + [("q0", names[-1]), (None, names[0]), ("none", None)]
+    d = written(spark, tmp_path, elements=([(n + " 1종",) for n in names[::2]] + [(None,)], "contract_scope string"), doc_facts=([(n + "-1",) for n in names[1::2]] + [(None,)], "clean_name string"), train350_gold=(gold, "qid string, question string"))
+    known = {n for n in names[::2] if len(n) >= 4} | {n for n in names[1::2] if len(n) >= 6}
+    want = {}
+    for k, t in {(k, t.replace(" ", "")) for k, t in gold if k and t}:
+        found = [(1.0, len(n), n) for n in known if n in t] + [(0.5, z, n) for n in known if (z := R.common_part(t, n)) >= 6 or (z >= 4 and z >= 0.6 * len(n))]
+        want[k] = want.get(k, []) + found
+    best = {k: min(((-c, -z, n) for c, z, n in v), default=None) for k, v in want.items()}
+    rows = entry.queries()["route_slots"](spark, d).collect()
+    assert {r.qid: (r.contract, r.confidence) for r in rows} == {k: (x[2], -x[0]) if x else (None, None) for k, x in best.items()}
+
+
+def test_named_contracts_of_many_alike(spark, tmp_path):
+    n = 2500
+    names = [f"가나다라마바사아{chr(0xAC00 + i)}" for i in range(n)]
+    d = written(spark, tmp_path, elements=([(x,) for x in names], "contract_scope string"), doc_facts=([("가나",)], "clean_name string"), train350_gold=([(f"q{i:04}", f"{x[3:]}특약은 며칠입니까") for i, x in enumerate(names)], "qid string, question string"))
+    began = time.time()
+    rows = entry.queries()["route_slots"](spark, d).collect()
+    assert time.time() - began < 60
+    assert [(r.contract, r.confidence) for r in sorted(rows)] == [(x, 0.5) for x in names]
