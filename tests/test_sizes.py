@@ -108,3 +108,23 @@ def test_named_contracts_of_many_alike(spark, tmp_path):
     rows = entry.queries()["route_slots"](spark, d).collect()
     assert time.time() - began < 60
     assert [(r.contract, r.confidence) for r in sorted(rows)] == [(x, 0.5) for x in names]
+
+
+def test_longest_titles_by_sql(spark, tmp_path, monkeypatch):
+    from textloom.operators import matching
+
+    monkeypatch.setattr(matching, "PHRASES", 3)
+    titles = ["가나다라마", "가나다라마바", "다라마바사아", "라마바사아", "사아자차카", "나다라", "하하하하하"]
+    elements = [(f"{x} 1종", f"d{i}") for i, x in enumerate(titles)] + [("하하하하하", "other"), ("가나다라마(2)", "d0"), (None, "d"), ("사아자차카", None)]
+    gold = [(f"q{i}", t) for i, t in enumerate(["가나 다라마", "가나다라마바", "x가나다라마바사아", "라마바사아자차카", "하하하하하하 가나다라마", "나다라", "사아자차카", ""])] + [("q0", "사아자차카"), ("q1", "라마바사아"), (None, "가나다라마"), ("none", None)]
+    d = written(spark, tmp_path, elements=(elements, "contract_scope string, document_key string"), train350_gold=(gold, "qid string, question string"))
+    df = entry.queries()["join_table_catalog"](spark, d)
+    got = rows_of(df.columns, df.collect())
+    assert got == by_sql(d, "join_table_catalog", "elements", "train350_gold") and got[1]
+
+
+def test_texts_are_not_moved_for_titles(spark, tmp_path):
+    """A row of five characters for every place of every text was made and moved."""
+    d = written(spark, tmp_path, elements=([("가나다라마", "d")], "contract_scope string, document_key string"), train350_gold=([("q", "가나다라마바")], "qid string, question string"))
+    df = entry.queries()["join_table_catalog"](spark, d)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1
