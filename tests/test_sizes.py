@@ -128,3 +128,31 @@ def test_texts_are_not_moved_for_titles(spark, tmp_path):
     d = written(spark, tmp_path, elements=([("가나다라마", "d")], "contract_scope string, document_key string"), train350_gold=([("q", "가나다라마바")], "qid string, question string"))
     df = entry.queries()["join_table_catalog"](spark, d)
     assert "Generate" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 1
+
+
+TAGS = "element_id string, subject_key array<string>, qualifier array<string>, reference array<string>"
+
+
+def test_structural_ranks_by_sql(spark, tmp_path, monkeypatch):
+    import random
+
+    from textloom.operators import matching
+
+    monkeypatch.setattr(matching, "PHRASES", 7)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("가나다", k=rng.choice([2, 3, 3, 4, 6]))) for _ in range(25)]
+    some = lambda: [None, *rng.choices(words, k=rng.choice([0, 1, 2]))] if rng.random() < 0.9 else None
+    fields = [(f"e{rng.randrange(200):03}", some(), some(), some()) for _ in range(400)] + [(None, words, words, words)]
+    gold = [(f"q{i // 2}", " ".join(rng.choices([*words, "마마"], k=rng.choice([1, 2, 4])))) for i in range(80)] + [(None, words[0]), ("none", None)]
+    d = written(spark, tmp_path, element_semantic_fields_v4=(fields, TAGS), train350_gold=(gold, "qid string, question string"))
+    df = entry.queries()["structural_key_rank"](spark, d)
+    assert rows_of(df.columns, df.collect()) == by_sql(d, "structural_key_rank", "element_semantic_fields_v4", "train350_gold")
+
+
+def test_structural_ranks_of_a_common_phrase(spark, tmp_path):
+    n = 6000
+    d = written(spark, tmp_path, element_semantic_fields_v4=([(f"e{i:04}", ["보험금지급"], None, None) for i in range(n)], TAGS), train350_gold=([(f"q{i:04}", f"{i} 보험금 지급") for i in range(n)], "qid string, question string"))
+    began = time.time()
+    rows = entry.queries()["structural_key_rank"](spark, d).collect()
+    assert {(r.element_id, r["rank"]) for r in rows} == {(f"e{i:04}", i + 1) for i in range(5)} and len(rows) == 5 * n
+    assert time.time() - began < 40
