@@ -156,3 +156,32 @@ def test_structural_ranks_of_a_common_phrase(spark, tmp_path):
     rows = entry.queries()["structural_key_rank"](spark, d).collect()
     assert {(r.element_id, r["rank"]) for r in rows} == {(f"e{i:04}", i + 1) for i in range(5)} and len(rows) == 5 * n
     assert time.time() - began < 40
+
+
+def test_best_by_fields_as_by_joins(spark):
+    """More queries and documents than a tile has, common and rare terms, ties, repeats, empty and missing tokens."""
+    import random
+
+    from textloom.operators import lexical, tiles
+
+    rng = random.Random(7)
+    words = [chr(0xAC00 + i) for i in range(400)]
+    some = lambda n: [words[min(399, int(rng.expovariate(0.02)))] for _ in range(n)]
+    docs = [(f"d{i % 9100:05}", some(rng.choice([0, 1, 3])), some(2)) for i in range(9000)] + [(f"e{i}", ["가"], [words[9], None]) for i in range(90)] + [("f", [], [])]
+    asked = [(f"q{i:03}", some(rng.choice([0, 1, 2, 4]))) for i in range(600)] + [("same", ["가", "가", words[9]]), ("none", ["없음", None])]
+    wide = spark.createDataFrame(docs, "doc_id string, f0 array<string>, f1 array<string>").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id string, tokens array<string>")
+    rows = wide.selectExpr("doc_id", "'f0' AS field", "f0 AS tokens").unionByName(wide.selectExpr("doc_id", "'f1' AS field", "f1 AS tokens"))
+    got = lexical.ranked(tiles.bm25f(wide, queries, [2.0, 0.5], [0.5, 0.9], 1.2, 1, 10), 10)
+    want = lexical.bm25f(rows, queries, {"f0": 2.0, "f1": 0.5}, {"f0": 0.5, "f1": 0.9}, top=10)
+    assert rows_of(got.columns, got.collect()) == rows_of(want.columns, want.collect())
+
+
+def test_tags_of_many_questions_alike(spark, tmp_path):
+    """A row was made for every term that a question and an element share, here 200 million."""
+    n = 2500
+    fields = [(f"e{i:04}", ["입원급여금을 지급합니다"], [f"{i}회"], None, ["payment_amount"], f"간병보장특약{i} AB-{10000 + i}") for i in range(2 * n)]
+    d = written(spark, tmp_path, element_semantic_fields_v4=(fields, TAGS + ", role array<string>, contract_key string"), train350_gold=([(f"q{i:04}", f"간병보장특약의 입원급여금을 {i}회 지급합니다", ["x"]) for i in range(n)], "qid string, question string, content_labels array<string>"))
+    began = time.time()
+    rows = entry.queries()["bm25f_structured_tags"](spark, d).collect()
+    assert len(rows) == 10 * n and time.time() - began < 60
