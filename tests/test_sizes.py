@@ -185,3 +185,33 @@ def test_tags_of_many_questions_alike(spark, tmp_path):
     began = time.time()
     rows = entry.queries()["bm25f_structured_tags"](spark, d).collect()
     assert len(rows) == 10 * n and time.time() - began < 60
+
+
+ELEMENTS, ASKED = "element_id string, text string, contract_scope string", "qid string, question string, content_labels array<string>"
+
+
+def test_named_riders_by_sql(spark, tmp_path):
+    """Riders named with and without a match, fewer than ten inside, roles that agree with and without a common word."""
+    import random
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("가나다라마바", k=2)) for _ in range(30)]
+    riders = ["가나다라마특약", "가나다라마특약바", "사아자차카특약", "짧은", "하하하하하"]
+    roles = ["payment", " PAYMENT ", "claim", "surgery", "", None]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    elements = [(f"e{i:03}", text(rng.choice([0, 1, 3, 6])), rng.choice([*riders[:4], None]) and f"{rng.choice(riders[:4])} 1종") for i in range(300)] + [("e000", "나머지", None), ("none", None, riders[0]), (None, "가나", None)]
+    elements += [(f"few{i}", words[i], "타파타파타 2종") for i in range(3)]
+    fields = [(f"e{rng.randrange(300):03}", rng.choice([None, rng.choices(roles, k=2)])) for _ in range(300)]
+    gold = [(f"q{i:03}", f"{rng.choice([*riders, '타파타파타', ''])} {text(rng.choice([0, 1, 4]))}", rng.choice([None, [], ["payment"], ["claim", "surgery"], ["claim,payment", "claim"]])) for i in range(150)] + [("q000", "가나", None), ("qn", None, None), (None, words[0], None)]
+    d = written(spark, tmp_path, elements=(elements, ELEMENTS), element_semantic_fields_v4=(fields, "element_id string, role array<string>"), train350_gold=(gold, ASKED))
+    df = entry.queries()["field_aware_namespace"](spark, d)
+    assert rows_of(df.columns, df.collect()) == by_sql(d, "field_aware_namespace", "elements", "element_semantic_fields_v4", "train350_gold")
+
+
+def test_elements_of_many_questions_alike(spark, tmp_path):
+    """A row was made for every word that a question and an element share, here 150 million."""
+    n = 5000
+    d = written(spark, tmp_path, elements=([(f"e{i:04}", f"{i}회 받을 수 있는 날 뒤 때", "입원보장특약" if i % 2 else "수술") for i in range(n)], ELEMENTS), element_semantic_fields_v4=([("e0001", ["payment"])], "element_id string, role array<string>"), train350_gold=([(f"q{i:04}", f"{i}회 받을 수 있는 날 뒤 때", ["payment"]) for i in range(n)], ASKED))
+    began = time.time()
+    rows = entry.queries()["field_aware_namespace"](spark, d).collect()
+    assert len(rows) == 10 * n and time.time() - began < 40

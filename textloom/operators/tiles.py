@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Documents of a batch; queries and documents of a tile; queries of a task.
 PACK, ROWS, COLUMNS, SHARE = 16_384, 512, 8192, 16_384
 #: A term is in the matrix product if it would meet in more than this part of all pairs.
-COMMON, MOST_COMMON = 0.002, 1024
+COMMON, MOST_COMMON = 0.001, 1024
 
 
 @dataclass
@@ -96,14 +96,16 @@ def corpus(docs: DataFrame, queries: DataFrame, fields: int) -> Corpus:
 @dataclass
 class Weights:
     """A term's weight in a document: ``idf * x / (k1 + x)``, x the sum over its occurrences of the field's weight by its
-    normalised length; without ``k1`` it is ``idf``. Only documents with a term under ``least`` count, where it is set."""
+    normalised length; without ``k1`` it is ``idf``. A document counts only where it has another term than the ``extra`` ones.
+    Scores are rounded to ``digits``."""
 
     idf: np.ndarray
     field: np.ndarray
     b: np.ndarray
     mean: np.ndarray
     k1: float | None
-    least: np.ndarray | None = None
+    extra: np.ndarray | None = None
+    digits: int = 6
 
     def of(self, batch: tuple, fields: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
         """Documents of a batch; document, term and weight of each posting."""
@@ -124,7 +126,7 @@ class Part:
 
     def __init__(self, query: np.ndarray, term: np.ndarray, count: np.ndarray, rows: int, w: Weights, slot: np.ndarray, common: int, top: int):
         v = len(w.idf)
-        self.rows, self.top, self.query, self.count = rows, top, query, count.astype(np.float32)
+        self.rows, self.top, self.digits, self.query, self.count = rows, top, w.digits, query, count.astype(np.float32)
         self.terms, self.local = np.unique(term, return_inverse=True)
         self.remap = np.full(v, len(self.terms))
         self.remap[self.terms] = np.arange(len(self.terms))
@@ -136,7 +138,7 @@ class Part:
         self.first = np.searchsorted(term[~dense][order], np.arange(v + 1))
         self.each = np.diff(self.first)
         # of a sum in float32: a rounding for each term and of each weight
-        self.error = np.bincount(query, count * w.idf[term], rows) * (np.bincount(query, minlength=rows) + 8) * 1.2e-7 + 1e-6
+        self.error = np.bincount(query, count * w.idf[term], rows) * (np.bincount(query, minlength=rows) + 8) * 1.2e-7 + 10.0**-w.digits
         self.bound = np.full(rows, 1e-9)
         self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
@@ -146,35 +148,48 @@ class Part:
         return x
 
     def add(self, q: np.ndarray, place: np.ndarray, score: np.ndarray) -> None:
-        q, place, score = (np.concatenate(x) for x in zip(self.best, (q, place, score), strict=True))
+        new = np.zeros(self.rows, bool)
+        new[q] = True
+        old = new[self.best[0]]
+        rest = [x[~old] for x in self.best]
+        q, place, score = (np.concatenate([x[old], y]) for x, y in zip(self.best, (q, place, score), strict=True))
         order = np.lexsort((place, -score, q))
         q, place, score = q[order], place[order], score[order]
         nth = np.arange(len(q)) - np.searchsorted(q, np.arange(self.rows))[q]
         last = nth == self.top - 1
         self.bound[q[last]] = score[last]
         keep = nth < self.top
-        self.best = q[keep], place[keep], score[keep]
+        self.best = tuple(np.concatenate([x, y[keep]]) for x, y in zip(rest, (q, place, score), strict=True))
 
 
-def _tile(p: Part, table: np.ndarray, dense: np.ndarray, rare: tuple, whole: tuple, columns: int, base: int, least: np.ndarray | None) -> None:
-    c = p.dense @ dense
+def _add(c: np.ndarray, p: Part, rare: tuple, only: bool = False) -> None:
+    # ``only``: to what has something already; weights are positive, so zero is exact
     doc, term, weight = rare
-    times = p.each[term]
-    some = np.flatnonzero(times)
+    some = np.flatnonzero(p.each[term])
     if len(some):
-        times = times[some]
+        times = p.each[term[some]]
         owner = np.repeat(some, times)
         entry = np.repeat(p.first[term[some]] - np.cumsum(times) + times, times) + np.arange(len(owner))
-        np.add.at(c.reshape(-1), p.rare[entry] * columns + doc[owner], weight[owner] * p.rare_count[entry])
+        flat, cell, x = c.reshape(-1), p.rare[entry] * c.shape[1] + doc[owner], weight[owner] * p.rare_count[entry]
+        if only:
+            some = flat[cell] > 0
+            cell, x = cell[some], x[some]
+        np.add.at(flat, cell, x)
+
+
+def _tile(p: Part, table: np.ndarray, plain: int, dense: np.ndarray, rare: tuple, extra: tuple, whole: tuple, columns: int, base: int) -> None:
+    c = p.dense[:, :plain] @ dense[:plain]
+    _add(c, p, rare)
+    if plain < len(dense):
+        c += (p.dense[:, plain:] @ dense[plain:]) * (c > 0)
+    _add(c, p, extra, only=True)
     low = p.bound - p.error
     hit = c > np.maximum(low, 1e-12).astype(np.float32)[:, None]
-    if least is None:  # else what is counted here may not count at all
-        many = np.flatnonzero(np.count_nonzero(hit, 1) > 4 * p.top)
-        if len(many):
-            x = c[many]
-            nth = np.partition(x, columns - p.top, axis=1)[:, columns - p.top]
-            hit[many] = x >= np.maximum(nth - 2 * p.error[many], low[many])[:, None]
-            hit[many] &= x > 0
+    many = np.flatnonzero(np.count_nonzero(hit, 1) > 2 * p.top)
+    if len(many):
+        x = c[many]
+        nth = np.partition(x, columns - p.top, axis=1)[:, columns - p.top]
+        hit[many] &= x >= (nth - 2 * p.error[many])[:, None]
     at = np.flatnonzero(hit)
     if not len(at):
         return
@@ -184,10 +199,8 @@ def _tile(p: Part, table: np.ndarray, dense: np.ndarray, rare: tuple, whole: tup
     owner = np.repeat(np.arange(len(at)), times)
     entry = np.repeat(first[d] - np.cumsum(times) + times, times) + np.arange(len(owner))
     w = table[q[owner], p.remap[term[entry]]] * weight[entry]
-    score = np.bincount(owner, w, len(at)).round(6)
+    score = np.bincount(owner, w, len(at)).round(p.digits)
     keep = score > p.bound[q]
-    if least is not None:
-        keep &= np.bincount(owner, w * least[term[entry]], len(at)) > 0
     if keep.any():
         p.add(q[keep], d[keep] + base, score[keep])
 
@@ -209,6 +222,9 @@ def _best(known, weights, df: np.ndarray, n: int, fields: int, batches: list, ca
         pairs = np.bincount(term, minlength=v) * df.astype(float)
         common = np.flatnonzero(pairs > COMMON * t.num_rows * n)
         common = common[np.argsort(-pairs[common], kind="stable")][:MOST_COMMON]
+        extra = np.zeros(v, bool) if w.extra is None else w.extra
+        common = common[np.argsort(extra[common], kind="stable")]
+        plain = len(common) - int(extra[common].sum())
         slot = np.full(v, -1)
         slot[common] = np.arange(len(common))
         parts = []
@@ -227,11 +243,12 @@ def _best(known, weights, df: np.ndarray, n: int, fields: int, batches: list, ca
                 s = slot[m]
                 dense = np.zeros((len(common), columns), np.float32)
                 dense[s[s >= 0], d[s >= 0]] = x[s >= 0]
-                tiles.append((dense, (d[s < 0], m[s < 0], x[s < 0].astype(np.float32)), (np.searchsorted(d, np.arange(columns + 1)), m, x), columns, base + lo))
+                rare, more = (s < 0) & ~extra[m], (s < 0) & extra[m]
+                tiles.append((plain, dense, *[(d[r], m[r], x[r].astype(np.float32)) for r in (rare, more)], (np.searchsorted(d, np.arange(columns + 1)), m, x), columns, base + lo))
             for p in parts:
                 table = p.table()
                 for tile in tiles:
-                    _tile(p, table, *tile, w.least)
+                    _tile(p, table, *tile)
         ids = pa.chunked_array([c for x in ids for c in x.chunks], key)
         names = t.column("query_id").combine_chunks()
         for i, p in enumerate(parts):
