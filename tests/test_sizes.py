@@ -215,3 +215,47 @@ def test_elements_of_many_questions_alike(spark, tmp_path):
     began = time.time()
     rows = entry.queries()["field_aware_namespace"](spark, d).collect()
     assert len(rows) == 10 * n and time.time() - began < 40
+
+
+PARTS, WANTED = "chunk_id string, text string, section_path array<string>, contract_scope string", "qid string, question string, business_type string, gold_chunk_ids array<string>"
+
+
+def test_arms_of_odd_rows_by_sql(spark, tmp_path):
+    """A suite a question, so that every rank counts; ties, repeated words and rows, nulls, documents that are missing."""
+    import random
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("가나다라마바사Aé9_", k=3)) for _ in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    text = lambda n: " ".join(rng.choices(words, weights, k=n))
+    chunks = [(f"c{i:04}", rng.choice([None, "", *[text(rng.choice([1, 4, 20]))] * 6]), rng.choice([None, [], [text(1), None], [text(2)]]), rng.choice([None, "", text(1)])) for i in range(4600)]  # more than a tile
+    chunks += [("c0000", "나머지", None, "다"), (None, words[0], None, None), *[(f"t{i:02}", f"{words[0]} {words[300]}", [words[1]], words[2]) for i in range(14)]]
+    gold = []
+    for i in range(1300):  # more than a block
+        own = rng.randrange(4600)
+        like = " ".join((chunks[own][1] or "").split()[: rng.choice([2, 6])])
+        gold.append((f"q{i:04}", rng.choice([like, f"{like} {text(2)}", text(5), ""]), f"s{i}", rng.choice([[f"c{own:04}"]] * 6 + [[f"c{own:04}", f"c{rng.randrange(4600):04}", None, "missing"], ["missing"], [], None])))
+    gold += [(f"tie{i:02}", f"{words[300]} {words[0]}, {words[0]}", f"t{i}", [f"t{i:02}"]) for i in range(14)]
+    gold += [("q0000", "아", None, ["c0001"]), ("q0001", None, "a", ["c0002"]), ("none", None, "z", ["c0003"]), (None, words[0], "z", ["c0000"]), ("plain", words[0], None, ["c0000"])]
+    d = written(spark, tmp_path, chunks=(chunks, PARTS), train350_gold=(gold, WANTED))
+    df = entry.queries()["bench_four_arm_suite"](spark, d)
+    got = df.collect()
+    assert rows_of(df.columns, got) == by_sql(d, "bench_four_arm_suite", "chunks", "train350_gold")
+    assert [sum(r[k] for r in got if r.arm == "text") > 100 for k in ("hit1", "hit10")] == [True, True]
+
+
+def test_arms_without_words_or_wanted(spark, tmp_path):
+    for i, (chunks, gold) in enumerate([([], [("q", "가", "s", ["c"])]), ([("c", "!", None, None)], [("q", "가", "s", ["c"])]), ([("c", "가", None, None)], [("q", "가", "s", None), ("r", "", "s", ["c"])]), ([("c", "가", None, None)], [])]):
+        d = written(spark, tmp_path / str(i), chunks=(chunks, PARTS), train350_gold=(gold, WANTED))
+        df = entry.queries()["bench_four_arm_suite"](spark, d)
+        assert rows_of(df.columns, df.collect()) == by_sql(d, "bench_four_arm_suite", "chunks", "train350_gold")
+
+
+def test_arms_of_many_questions_alike(spark, tmp_path):
+    """Every question was scored on every chunk that shares a word with it, in each arm."""
+    n = 15000
+    d = written(spark, tmp_path, chunks=([(f"c{i:05}", f"{i}회 받을 수 있는 날 뒤 때", ["수술"], "입원") for i in range(n)], PARTS), train350_gold=([(f"q{i:05}", f"{i}회 받을 수 있는 날 뒤 때", "가" if i % 2 else None, [f"c{i:05}"]) for i in range(n)], WANTED))
+    began = time.time()
+    rows = entry.queries()["bench_four_arm_suite"](spark, d).collect()
+    assert {(r.arm, r.hit1, r.hit10) for r in rows} == {("text", n // 2, n // 2), ("combined", n // 2, n // 2), ("section", 0, 0), ("scope", 0, 0)}
+    assert time.time() - began < 60
