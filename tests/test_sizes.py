@@ -80,6 +80,22 @@ def test_locators_of_many_questions(spark, tmp_path, monkeypatch):
     assert got == by_sql(d, "locator_coverage_bonus", "element_semantic_fields_v4", "train350_gold") and len(got[1]) > n
 
 
+def test_locators_in_one_plan(spark, tmp_path, monkeypatch):
+    """The driver held a part of the plan and a broadcast for every block of questions."""
+    from textloom.operators import scoring, tiles
+
+    monkeypatch.setattr(scoring, "QUERIES", 10)
+    monkeypatch.setattr(tiles, "PAIRS", 300, raising=False)
+    n = 60
+    fields = [(f"e{i}", (f"제{i}조", f"입원보험금의 지급사유 {i % 7}", None)) for i in range(n)]
+    gold = [(f"q{i % 50}", f"제{i}조에 입원보험금 지급사유 {i % 7}이 있습니까") for i in range(n)]
+    d = written(spark, tmp_path, element_semantic_fields_v4=(fields, FIELDS), train350_gold=(gold, "qid string, question string"))
+    df = entry.queries()["locator_coverage_bonus"](spark, d)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Union" not in plan and "Broadcast" not in plan
+    assert rows_of(df.columns, df.collect()) == by_sql(d, "locator_coverage_bonus", "element_semantic_fields_v4", "train350_gold")
+
+
 def test_named_contracts_by_comparison(spark, tmp_path, monkeypatch):
     import random
 

@@ -168,56 +168,3 @@ def top_scores(docs: DataFrame, queries: DataFrame, k1: float, b: float, boost:
         found = found.join(F.broadcast(names), "q").select("query_id", "doc_id", "score")  # at most QUERIES rows
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], f"query_id {name}, doc_id {kind.simpleString()}, score double") if out is None else out
-
-
-def _overlap(block, least: int, share: float, key: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = block.value
-        each, step = np.diff(m.first), max(1, CELLS // max(1, len(m.ids)))
-        for batch in batches:
-            tokens = batch.column("tokens")
-            size = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = pc.index_in(tokens.flatten(), value_set=m.vocabulary)
-            hit = pc.is_valid(found).to_numpy(zero_copy_only=False)
-            term = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
-            doc = np.repeat(np.arange(len(size)), size)[hit]
-            weight = batch.column("weights").flatten().to_numpy(zero_copy_only=False)[hit]
-            total = batch.column("total").to_numpy(zero_copy_only=False)
-            for lo in range(0, batch.num_rows, step):
-                a, z = np.searchsorted(doc, [lo, lo + step])
-                if a == z:
-                    continue
-                times = each[term[a:z]]
-                owner = np.repeat(np.arange(a, z), times)
-                entry = np.repeat(m.first[term[a:z]] - np.cumsum(times) + times, times) + np.arange(len(owner))
-                rows = min(step, batch.num_rows - lo)
-                cell = m.query[entry] * rows + doc[owner] - lo
-                n = np.bincount(cell, minlength=len(m.ids) * rows)
-                at = np.flatnonzero(n >= least)
-                s = np.bincount(cell, weight[owner], len(n))[at]
-                d = at % rows + lo
-                keep = s >= share * total[d] * (1 - 1e-6)  # the caller rounds and compares
-                at, s, d = at[keep], s[keep], d[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(at // rows, pa.int32()), batch.column("doc_id").take(pa.array(d)).cast(key), pa.array(n[at], pa.int64()), pa.array(s, pa.float64()), pa.array(total[d], pa.float64())], ["q", "doc_id", "matches", "s", "total"])
-
-    return run
-
-
-def overlaps(docs: DataFrame, queries: DataFrame, least: int, share: float) -> DataFrame:
-    """``query_id, doc_id, matches, s, total`` where a query has ``least`` tokens of a document and about ``share`` or
-    more of their weight ``total``; no rows of tokens by queries are made.
-
-    ``docs``: ``doc_id``, different ``tokens``, their ``weights`` and the sum ``total``; ``queries``: ``query_id``, ``tokens``.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "tokens", "weights", "total")
-    kind, name = docs.schema["doc_id"].dataType, queries.schema["query_id"].dataType.simpleString()
-    out = None
-    for block in query_blocks(queries, 1):
-        found = docs.mapInArrow(_overlap(spark.sparkContext.broadcast(block), least, share, to_arrow_type(kind)), f"q int, doc_id {kind.simpleString()}, matches long, s double, total double")
-        names = spark.createDataFrame(list(enumerate(block.ids)), f"q int, query_id {name}")
-        found = found.join(F.broadcast(names), "q").drop("q")  # at most QUERIES rows
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], f"query_id {name}, doc_id {kind.simpleString()}, matches long, s double, total double") if out is None else out

@@ -1,7 +1,8 @@
 """The best documents of many queries: tiles of queries by documents, queries spread over tasks.
 
-Documents are sorted by id, packed once into compressed batches of term numbers and broadcast batch by batch; each task
-holds its part of the queries against all of them, so that what it returns is final and no partial ranks are moved.
+Documents are sorted by id and packed once into compressed batches of term numbers, which stay in the checkpoint folder:
+each task holds its part of the queries against all of them, read one by one, so that what it returns is final, no
+partial ranks are moved and the driver sees no documents, only the counts of each batch.
 Inside a tile the common terms are one matrix product and the rare ones are added by their postings. Both are float32
 and only choose what may reach a query's present ``top``-th best score, with their error bound added; those few are
 summed again in float64. Nothing is left out by it: the result equals that of scoring every pair.
@@ -16,9 +17,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.plans.lineage import cut
+
 #: Documents of a batch; queries and documents of a tile; queries of a task.
 PACK, ROWS, COLUMNS, SHARE = 16_384, 512, 8192, 16_384
 #: A term is in the matrix product if it would meet in more than this part of all pairs.
@@ -27,14 +31,15 @@ COMMON, MOST_COMMON = 0.001, 1024
 
 @dataclass
 class Corpus:
-    """What is known of the documents: their batches, and of each term the weight that a document's share multiplies."""
+    """What is known of the documents: their batches with the number of documents before each, and how many have a term."""
 
     vocabulary: list[str]
     fields: int
     df: np.ndarray
     lengths: np.ndarray
     n: int = 0
-    batches: list = field(default_factory=list)
+    packs: DataFrame | None = None
+    base: dict[int, int] = field(default_factory=dict)
 
 
 def _pack(vocabulary, fields: int):
@@ -85,10 +90,11 @@ def corpus(docs: DataFrame, queries: DataFrame, fields: int) -> Corpus:
     known = sorted(r.t for r in words.toLocalIterator())
     c = Corpus(known, fields, np.zeros(max(1, len(known)), np.int64), np.zeros(fields, np.int64))
     rows = docs.where("doc_id is not null").orderBy("doc_id").mapInArrow(_pack(sc.broadcast(known), fields), "ids binary, terms binary, counts binary, lengths binary, df binary, n long, total array<long>")
-    for r in rows.toLocalIterator():
+    c.packs = cut(rows.withColumn("pack", F.monotonically_increasing_id()))
+    for r in c.packs.select("pack", "df", "n", "total").toLocalIterator():  # in the order of the ids
         c.df += np.frombuffer(zlib.decompress(r.df), np.int32)
         c.lengths += np.array(r.total)
-        c.batches.append((sc.broadcast((bytes(r.ids), bytes(r.terms), bytes(r.counts), bytes(r.lengths))), c.n))
+        c.base[r.pack] = c.n
         c.n += r.n
     return c
 
@@ -96,7 +102,8 @@ def corpus(docs: DataFrame, queries: DataFrame, fields: int) -> Corpus:
 @dataclass
 class Weights:
     """A term's weight in a document: ``idf * x / (k1 + x)``, x the sum over its occurrences of the field's weight by its
-    normalised length; without ``k1`` it is ``idf``. A document counts only where it has another term than the ``extra`` ones.
+    normalised length; of an ``extra`` term or without ``k1`` it is ``idf``. A document counts only where it has another
+    term than the ``extra`` ones.
     Scores are rounded to ``digits``."""
 
     idf: np.ndarray
@@ -118,7 +125,8 @@ class Weights:
         if self.k1 is None:
             return n, doc, term, self.idf[term]
         x = np.bincount(at, np.repeat(share.ravel(), counts), len(key))
-        return n, doc, term, self.idf[term] * x / (self.k1 + x)
+        x = self.idf[term] * x / (self.k1 + x)
+        return n, doc, term, x if self.extra is None else np.where(self.extra[term], self.idf[term], x)
 
 
 class Part:
@@ -139,7 +147,7 @@ class Part:
         self.each = np.diff(self.first)
         # of a sum in float32: a rounding for each term and of each weight
         self.error = np.bincount(query, count * w.idf[term], rows) * (np.bincount(query, minlength=rows) + 8) * 1.2e-7 + 10.0**-w.digits
-        self.bound = np.full(rows, 1e-9)
+        self.bound, self.seen = np.full(rows, 1e-9), 0
         self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def table(self) -> np.ndarray:
@@ -200,60 +208,110 @@ def _tile(p: Part, table: np.ndarray, plain: int, dense: np.ndarray, rare: tuple
     entry = np.repeat(first[d] - np.cumsum(times) + times, times) + np.arange(len(owner))
     w = table[q[owner], p.remap[term[entry]]] * weight[entry]
     score = np.bincount(owner, w, len(at)).round(p.digits)
-    keep = score > p.bound[q]
+    keep = score >= p.bound[q] if base < p.seen else score > p.bound[q]  # ties go to the smaller id, as batches mostly come in order
     if keep.any():
         p.add(q[keep], d[keep] + base, score[keep])
 
 
-def _best(known, weights, df: np.ndarray, n: int, fields: int, batches: list, cap: int | None, top: int, key: pa.DataType):
+class Share:
+    """A task's queries: their ids, the common terms in the order of the matrix (``plain`` of them not extra), and the parts."""
+
+    def __init__(self, ids: pa.Array, query: np.ndarray, term: np.ndarray, count: np.ndarray, w: Weights, df: np.ndarray, n: int, top: int):
+        v = len(w.idf)
+        pairs = np.bincount(term, minlength=v) * df.astype(float)
+        common = np.flatnonzero(pairs > COMMON * len(ids) * n)
+        common = common[np.argsort(-pairs[common], kind="stable")][:MOST_COMMON]
+        extra = np.zeros(v, bool) if w.extra is None else w.extra
+        common = common[np.argsort(extra[common], kind="stable")]
+        self.ids, self.extra, self.common, self.plain = ids, extra, len(common), len(common) - int(extra[common].sum())
+        self.slot = np.full(v, -1)
+        self.slot[common] = np.arange(len(common))
+        self.parts = []
+        for lo in range(0, len(ids), ROWS):
+            a, z = np.searchsorted(query, [lo, lo + ROWS])
+            self.parts.append(Part(query[a:z] - lo, term[a:z], count[a:z], min(ROWS, len(ids) - lo), w, self.slot, len(common), top))
+
+    def tiles(self, size: int, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, base: int) -> Iterator[tuple]:
+        """Of a batch's postings, ``COLUMNS`` documents at a time: the matrix, the rare postings, the extra ones, all by document."""
+        for lo in range(0, size, COLUMNS):
+            columns = min(COLUMNS, size - lo)
+            a, z = np.searchsorted(doc, [lo, lo + columns])
+            d, m, x = doc[a:z] - lo, term[a:z], weight[a:z]
+            s = self.slot[m]
+            dense = np.zeros((self.common, columns), np.float32)
+            dense[s[s >= 0], d[s >= 0]] = x[s >= 0]
+            rare, more = (s < 0) & ~self.extra[m], (s < 0) & self.extra[m]
+            yield self.plain, dense, *[(d[r], m[r], x[r].astype(np.float32)) for r in (rare, more)], (np.searchsorted(d, np.arange(columns + 1)), m, x), columns, base + lo
+
+
+def _shares(known, cap: int | None):
+    """A task's queries as one row: their ids, and query, term and count of what they have of the known terms."""
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frames = [b for b in frames if b.num_rows]
         if not frames:
             return
         t = pa.Table.from_batches(frames).combine_chunks()
-        w, v = weights.value, len(weights.value.idf)
+        v = max(1, len(known.value))
         tokens = t.column("tokens").combine_chunks()
         tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
         length = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=pa.array(known.value, pa.string()), skip_nulls=True), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        own = (np.repeat(np.arange(len(length)), length) * v + found)[found >= 0]
-        cell, count = np.unique(own, return_counts=True)
-        query, term, count = cell // v, cell % v, count if cap is None else np.minimum(count, cap)
-        pairs = np.bincount(term, minlength=v) * df.astype(float)
-        common = np.flatnonzero(pairs > COMMON * t.num_rows * n)
-        common = common[np.argsort(-pairs[common], kind="stable")][:MOST_COMMON]
-        extra = np.zeros(v, bool) if w.extra is None else w.extra
-        common = common[np.argsort(extra[common], kind="stable")]
-        plain = len(common) - int(extra[common].sum())
-        slot = np.full(v, -1)
-        slot[common] = np.arange(len(common))
-        parts = []
-        for lo in range(0, t.num_rows, ROWS):
-            a, z = np.searchsorted(query, [lo, lo + ROWS])
-            parts.append(Part(query[a:z] - lo, term[a:z], count[a:z], min(ROWS, t.num_rows - lo), w, slot, len(common), top))
-        ids = []
-        for batch, base in batches:
-            ids.append(pa.ipc.open_stream(zlib.decompress(batch.value[0])).read_all().column(0))
-            size, doc, term, weight = w.of(batch.value, fields)
-            tiles = []
-            for lo in range(0, size, COLUMNS):
-                columns = min(COLUMNS, size - lo)
-                a, z = np.searchsorted(doc, [lo, lo + columns])
-                d, m, x = doc[a:z] - lo, term[a:z], weight[a:z]
-                s = slot[m]
-                dense = np.zeros((len(common), columns), np.float32)
-                dense[s[s >= 0], d[s >= 0]] = x[s >= 0]
-                rare, more = (s < 0) & ~extra[m], (s < 0) & extra[m]
-                tiles.append((plain, dense, *[(d[r], m[r], x[r].astype(np.float32)) for r in (rare, more)], (np.searchsorted(d, np.arange(columns + 1)), m, x), columns, base + lo))
-            for p in parts:
+        cell, count = np.unique((np.repeat(np.arange(len(length)), length) * v + found)[found >= 0], return_counts=True)
+        sink = pa.BufferOutputStream()
+        names = t.select(["query_id"])
+        with pa.ipc.new_stream(sink, names.schema) as w:
+            w.write_table(names)
+        blob = [zlib.compress(x, 1) for x in (sink.getvalue().to_pybytes(), cell.tobytes(), (count if cap is None else np.minimum(count, cap)).astype(np.int32).tobytes())]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), *[pa.array([x], pa.binary()) for x in blob]], ["share", "names", "cells", "times"])
+
+    return run
+
+
+def _met(frames: Iterator[pa.RecordBatch], weights, base: dict[int, int], df: np.ndarray, n: int, fields: int, top: int, shares: dict[int, Share]) -> Iterator[tuple[Share, pa.Array, Iterator[tuple], int]]:
+    """Each share with each batch of documents: the share, the batch's ids, its tiles, the documents before it."""
+    w = weights.value
+    for b in frames:
+        for i in range(b.num_rows):
+            r = {c: b.column(c)[i].as_py() for c in ("share", "pack", "ids", "terms", "counts", "lengths")}
+            if r["share"] not in shares:
+                names, cells, times = (zlib.decompress(b.column(c)[i].as_py()) for c in ("names", "cells", "times"))
+                names = pa.ipc.open_stream(names).read_all().column(0).combine_chunks()
+                cells = np.frombuffer(cells, np.int64)
+                shares[r["share"]] = Share(names.chunk(0) if isinstance(names, pa.ChunkedArray) else names, cells // len(w.idf), cells % len(w.idf), np.frombuffer(times, np.int32), w, df, n, top)
+            share = shares[r["share"]]
+            ids = pa.ipc.open_stream(zlib.decompress(r["ids"])).read_all().column(0).combine_chunks()
+            first = base[r["pack"]]
+            yield share, ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids, share.tiles(*w.of(tuple(r[c] for c in ("ids", "terms", "counts", "lengths")), fields), first), first
+
+
+def _against(c: Corpus, queries: DataFrame, cap: int | None, run, schema: str) -> DataFrame:
+    """``run`` on every share of the queries with every batch of the documents; a task has one share."""
+    queries = queries.select("query_id", "tokens").where("query_id is not null and tokens is not null")
+    sc = queries.sparkSession.sparkContext
+    parts = max(sc.defaultParallelism, -(-queries.count() // SHARE))
+    shares = queries.repartition(parts).mapInArrow(_shares(sc.broadcast(c.vocabulary), cap), "share long, names binary, cells binary, times binary")
+    packs = c.packs.select("pack", "ids", "terms", "counts", "lengths").coalesce(1).hint("shuffle_replicate_nl")  # read by every task, not broadcast
+    return shares.crossJoin(packs).mapInArrow(run, schema)
+
+
+def _best(weights, base: dict[int, int], df: np.ndarray, n: int, fields: int, top: int, key: pa.DataType):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares: dict[int, Share] = {}
+        every: dict[int, pa.Array] = {}
+        for share, ids, tiles, first in _met(frames, weights, base, df, n, fields, top, shares):
+            every[first] = ids
+            tiles = list(tiles)
+            for p in share.parts:
                 table = p.table()
                 for tile in tiles:
                     _tile(p, table, *tile)
-        ids = pa.chunked_array([c for x in ids for c in x.chunks], key)
-        names = t.column("query_id").combine_chunks()
-        for i, p in enumerate(parts):
-            q, place, score = p.best
-            yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (names.take(pa.array(q + i * ROWS)), ids.take(pa.array(place)), pa.array(score, pa.float64()))], ["query_id", "doc_id", "score"])
+                p.seen = max(p.seen, first + len(ids))
+        ids = pa.chunked_array([every[k] for k in sorted(every)], key)
+        for share in shares.values():
+            for i, p in enumerate(share.parts):
+                q, place, score = p.best
+                yield pa.RecordBatch.from_arrays([x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in (share.ids.take(pa.array(q + i * ROWS)), ids.take(pa.array(place)), pa.array(score, pa.float64()))], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -264,10 +322,60 @@ def best(c: Corpus, weights: Weights, docs: DataFrame, queries: DataFrame, cap:
 
     sc = docs.sparkSession.sparkContext
     kind, name = docs.schema["doc_id"].dataType, queries.schema["query_id"].dataType.simpleString()
-    queries = queries.select("query_id", "tokens").where("query_id is not null and tokens is not null")
-    parts = max(sc.defaultParallelism, -(-queries.count() // SHARE))
-    run = _best(sc.broadcast(c.vocabulary), sc.broadcast(weights), c.df, c.n, c.fields, c.batches, cap, top, to_arrow_type(kind))
-    return queries.repartition(parts).mapInArrow(run, f"query_id {name}, doc_id {kind.simpleString()}, score double")
+    run = _best(sc.broadcast(weights), c.base, c.df, c.n, c.fields, top, to_arrow_type(kind))
+    return _against(c, queries, cap, run, f"query_id {name}, doc_id {kind.simpleString()}, score double")
+
+
+#: Pairs that are summed at a time.
+PAIRS = 200_000
+
+
+def _overlap(weights, base: dict[int, int], df: np.ndarray, n: int, size: int, least: int, share: float, factor: float):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = lambda x: np.floor(x * 1e5 + 0.5) / 1e5
+        w = weights.value
+        for own, ids, tiles, first in _met(frames, weights, base, df, n, 1, 1, {}):
+            for _, dense, rare, _, (at, term, weight), columns, place in tiles:
+                each = np.diff(at)
+                total = np.bincount(np.repeat(np.arange(columns), each), weight, columns)
+                low = np.where(each >= size, share * total * (1 - 1e-5), np.inf).astype(np.float32)
+                for i, p in enumerate(own.parts):
+                    c = p.dense @ dense
+                    _add(c, p, rare)
+                    c -= low
+                    met = np.flatnonzero(c >= -p.error.astype(np.float32)[:, None])
+                    del c
+                    whole = np.bincount(p.query, w.idf[p.terms[p.local]], p.rows)
+                    table = p.table()
+                    for lo in range(0, len(met), PAIRS):
+                        q, d = np.divmod(met[lo : lo + PAIRS], columns)
+                        times = each[d]
+                        begin = np.cumsum(times) - times
+                        entry = np.repeat(at[d] - begin, times) + np.arange(times.sum())
+                        has = table[np.repeat(q, times), p.remap[term[entry]]]
+                        matches = np.add.reduceat(has, begin).astype(np.int64)
+                        s = np.add.reduceat(has * weight[entry], begin)
+                        x = s / total[d]
+                        keep = (matches >= least) & (np.floor(x * 1e9 + 0.5) / 1e9 >= share)
+                        q, d, x, s = q[keep], d[keep], x[keep], s[keep]
+                        yield pa.RecordBatch.from_arrays([own.ids.take(pa.array(q + i * ROWS)), ids.take(pa.array(d + place - first)), pa.array(matches[keep]), *[pa.array(nearest(y)) for y in (x, 2 * s / (total[d] + whole[q]), factor * x * x)]], ["query_id", "doc_id", "matches", "coverage", "dice", "bonus"])
+
+    return run
+
+
+def overlaps(docs: DataFrame, queries: DataFrame, size: int, least: int, share: float, factor: float) -> DataFrame:
+    """``query_id, doc_id, matches, coverage, dice, bonus`` where a document of ``size`` different tokens has ``least`` in
+    common with a query and ``share`` of their weight; ``bonus`` is ``factor`` times the square of the coverage.
+
+    A token of ``df`` of ``n`` documents (``doc_id``, ``f0``) weighs ``log(1 + n / df)``; documents without tokens do not count.
+    """
+    sc = docs.sparkSession.sparkContext
+    c = corpus(docs.where("size(f0) > 0"), docs.select(F.col("f0").alias("tokens")), 1)
+    kind, name = (x.schema[k].dataType.simpleString() for x, k in ((docs, "doc_id"), (queries, "query_id")))
+    one = np.ones(1)
+    w = Weights(np.log(1 + c.n / np.maximum(1, c.df)), one, one * 0, one, None)
+    run = _overlap(sc.broadcast(w), c.base, c.df, c.n, size, least, share, factor)
+    return _against(c, queries, 1, run, f"query_id {name}, doc_id {kind}, matches long, coverage double, dice double, bonus double")
 
 
 def bm25f(docs: DataFrame, queries: DataFrame, weights: list[float], bs: list[float], k1: float, cap: int | None, top: int, boost: float = 1.0) -> DataFrame:
