@@ -203,6 +203,45 @@ def test_tags_of_many_questions_alike(spark, tmp_path):
     assert len(rows) == 10 * n and time.time() - began < 60
 
 
+def test_tags_with_bonuses_by_comparison(spark, tmp_path):
+    """Elements below the fifty best without the bonuses that are among the ten best with them."""
+    import random
+    import re
+    from math import log
+
+    rng = random.Random(13)
+    part = lambda n: ["".join(rng.choices("가나다", k=3)) for _ in range(rng.choice([0, 1, n]))]
+    riders = ["가나다라특약", "가나", "다라마바특약", "라마바"]
+    cites = ["제1조", "제2조", "제12조 제1조", "제3조의2"]
+    codes = ["AB-12345", "XAB-1234567", "CD1234", "QCD12345", "EF-123"]
+    pick = lambda xs, n: rng.sample(xs, rng.choice([0, 0, n]))
+    fields = [(f"e{i:03}", part(3) + pick(codes, 1), part(2) + pick(codes, 2), pick(cites, 2), ["r"], rng.choice([*riders, None]) and f"{rng.choice(riders)} 1종") for i in range(400)] + [(None, ["가나"], None, None, None, None), ("none", None, None, None, None, None)]
+    gold = [(f"q{i:02}", " ".join(part(4) + ["가나가 나다나", *pick(riders, 1), *pick(["제1조", "제2조", "제12조", "제9조"], 3), *pick(["AB-12345", "CD1234", "AB-12345 AB-1234"], 1)]), None) for i in range(60)] + [("qn", None, None), (None, "가나", None)]
+    d = written(spark, tmp_path, element_semantic_fields_v4=(fields, TAGS + ", role array<string>, contract_key string"), train350_gold=(gold, "qid string, question string, content_labels array<string>"))
+    grams = lambda t: [x[i : i + 2] for x in ["".join(t.lower().split())] for i in range(len(x) - 1)]
+    docs = {e: [" ".join(x or []) for x in (a, b, r, o)] + [k or ""] for e, a, b, r, o, k in fields if e}
+    toks = {e: [grams(x) for x in v] for e, v in docs.items()}
+    n, mean = len(docs), [sum(len(v[i]) for v in toks.values()) / len(docs) or 1 for i in range(5)]
+    df = {g: sum(any(g in x for x in v) for v in toks.values()) for v in toks.values() for x in v for g in x}
+    want, low = set(), 0
+    for k, t, _ in gold:
+        if not k or not t:
+            continue
+        plain, scores = {}, {}
+        for e, v in toks.items():
+            x = {g: sum(w * y.count(g) / (0.5 + 0.5 * len(y) / m) for w, y, m in zip((3, 1.5, 1, 0.5, 2), v, mean)) for g in set(grams(t))}
+            plain[e] = sum(log(1 + (n - df[g] + 0.5) / (df[g] + 0.5)) * y / (1.2 + y) for g, y in x.items() if y)
+            stem = re.match("[가-힣]*", docs[e][4])[0]
+            said = f"{docs[e][0]} {docs[e][1]}"
+            bonus = 2.0 * (len(stem) >= 3 and stem in t) + 2.0 * bool({*re.findall("제[0-9]+조", t)} & {*re.findall("제[0-9]+조", docs[e][2])}) + 2.5 * sum(x in said for x in {*re.findall("[A-Z]{2,4}-?[0-9]{4,6}", t)})
+            scores[e] = round(plain[e] + bonus, 6)
+        best = sorted((e for e in docs if plain[e] > 0), key=lambda e: (-scores[e], e))[:10]
+        low += bool({*best} - {*sorted(docs, key=lambda e: (-plain[e], e))[:50]})
+        want |= {(k, e, round(scores[e], 4)) for e in best}
+    rows = entry.queries()["bm25f_structured_tags"](spark, d).collect()
+    assert low and {(r.query_id, r.doc_id, round(r.score, 4)) for r in rows} == want and len(rows) == len(want)
+
+
 ELEMENTS, ASKED = "element_id string, text string, contract_scope string", "qid string, question string, content_labels array<string>"
 
 
