@@ -203,6 +203,23 @@ def test_tags_of_many_questions_alike(spark, tmp_path):
     assert len(rows) == 10 * n and time.time() - began < 60
 
 
+def test_documents_are_not_broadcast(spark, monkeypatch):
+    """Every batch of documents passed the driver and stayed in its memory."""
+    from textloom.operators import tiles
+
+    sent, plain = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or plain(x))
+    queries = spark.createDataFrame([("q", ["1", "x"])], "query_id string, tokens array<string>")
+    counts = []
+    for n in (10, 40_000):
+        docs = spark.range(n).selectExpr("format_string('d%05d', id) AS doc_id", "array('x', cast(id % 7 AS string)) AS f0")
+        got = tiles.bm25f(docs, queries, [1.0], [0.5], 1.2, 1, 2)
+        assert sorted(r.doc_id for r in got.collect()) == ["d00001", "d00008"]
+        counts.append(len(sent))
+        sent.clear()
+    assert counts[0] == counts[1]
+
+
 def test_tags_with_bonuses_by_comparison(spark, tmp_path):
     """Elements below the fifty best without the bonuses that are among the ten best with them."""
     import random
