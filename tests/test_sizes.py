@@ -116,6 +116,27 @@ def test_named_contracts_by_comparison(spark, tmp_path, monkeypatch):
     assert {r.qid: (r.contract, r.confidence) for r in rows} == {k: (x[2], -x[0]) if x else (None, None) for k, x in best.items()}
 
 
+def test_contracts_by_their_subjects(spark, tmp_path):
+    """Whole names before subjects, these before parts; a subject of four contracts stands for none."""
+    tags = [("가나특약 1종", ["골절 진단금", "수술비용", "모두의것"]), ("다라특약", ["수술비용", "입원 일당", "모두의것"]), ("마바특약", ["입원 일당", "수술비용", "모두의것", "짧은것"]), ("사아특약", ["모두의것", None]), ("차카타파하특약", ["AB치료비"]), (None, ["골절진단금"]), ("자자특약", None)]
+    gold = {"one": "골절진단금은 얼마", "most": "입원일당과 수술 비용", "ties": "입원-일당", "four": "모두의것", "short": "짧은것", "whole": "가나특약의 입원일당", "part": "차카타파하특별", "before": "차카타파하특별 골절진단금", "case": "ab치료비", "none": "무엇"}
+    d = written(spark, tmp_path, elements=([(x,) for x, _ in tags], "contract_scope string"), doc_facts=([("가나",)], "clean_name string"), element_semantic_fields_v4=(tags, "contract_key string, subject_key array<string>"), train350_gold=([*gold.items(), ("most", "수술비용"), (None, "수술비용")], "qid string, question string"))
+    got = {r.qid: (r.contract, r.confidence) for r in entry.queries()["route_slots"](spark, d).collect()}
+    assert got == {
+        "one": ("가나특약", 0.75), "most": ("다라특약", 0.75), "ties": ("다라특약", 0.75), "four": (None, None), "short": (None, None), "whole": ("가나특약", 1.0),
+        "part": ("차카타파하특약", 0.5), "before": ("가나특약", 0.75), "case": ("차카타파하특약", 0.75), "none": (None, None),
+    }
+
+
+def test_slots_by_rule(spark, tmp_path):
+    gold = [("a", "'x' 별표 3의 갑상선암 지급사유와 면책, 90일 한도 50%는?"), ("b", "「간병 자금」의 계산식"), ("c", "그래")]
+    d = written(spark, tmp_path, elements=([("가나다라특약",)], "contract_scope string"), doc_facts=([("가나",)], "clean_name string"), train350_gold=(gold, "qid string, question string"))
+    got = {r.qid: (r.role, r.qualifier, r.schema) for r in entry.queries()["route_slots"](spark, d).collect()}
+    assert got == {"a": ("exclusion_exception|payment_trigger|limit_frequency", "90일 한도|50%", "table"), "b": ("payment_amount", "", "formula"), "c": ("", "", "")}
+    rows = {r.qid: r.subject for r in entry.queries()["route_slots"](spark, d).collect()}
+    assert rows["b"] == "간병 자금" and rows["c"] == ""
+
+
 def test_named_contracts_of_many_alike(spark, tmp_path):
     n = 2500
     names = [f"가나다라마바사아{chr(0xAC00 + i)}" for i in range(n)]
